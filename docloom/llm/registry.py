@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, quality
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_quality": quality.op2_quality,
 }
 
 ORACLES = {
     "op1_mixing": mixing.ORACLE,
+    "op2_quality": quality.ORACLE,
 }
