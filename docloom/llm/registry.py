@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import chat, mixing, quality
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_quality": quality.op2_quality,
+    "op5_chat": chat.op5_chat,
 }
 
 ORACLES = {
     "op1_mixing": mixing.ORACLE,
     "op2_quality": quality.ORACLE,
+    "op5_chat": chat.ORACLE,
 }
