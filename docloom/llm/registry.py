@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing, quality
+from . import chat, mixing, packing, quality, simhash
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_quality": quality.op2_quality,
+    "op3_simhash": simhash.op3_simhash,
     "op4_packing": packing.op4_packing,
     "op5_chat": chat.op5_chat,
 }
