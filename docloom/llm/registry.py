@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing, quality, simhash
+from . import chat, mixing, packing, quality, simhash, topk, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,10 +10,14 @@ QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op4_packing": packing.op4_packing,
     "op5_chat": chat.op5_chat,
+    "op7_topk": topk.op7_topk,
+    "op9_warc": warc.op9_warc,
 }
 
 ORACLES = {
     "op1_mixing": mixing.ORACLE,
     "op2_quality": quality.ORACLE,
     "op5_chat": chat.ORACLE,
+    "op7_topk": topk.ORACLE,
+    "op9_warc": warc.ORACLE,
 }
