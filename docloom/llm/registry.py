@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing, quality, simhash, topk, warc
+from . import chat, mixing, packing, quality, simhash, substrings, topk, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_chat": chat.op5_chat,
     "op7_topk": topk.op7_topk,
     "op9_warc": warc.op9_warc,
+    "op10_substrings": substrings.op10_substrings,
 }
 
 ORACLES = {
@@ -20,4 +21,5 @@ ORACLES = {
     "op5_chat": chat.ORACLE,
     "op7_topk": topk.ORACLE,
     "op9_warc": warc.ORACLE,
+    "op10_substrings": substrings.ORACLE,
 }
