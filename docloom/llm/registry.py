@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing, quality, simhash, substrings, topk, warc
+from . import chat, mixing, packing, quality, simhash, substrings, suffixes, topk, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op5_chat": chat.op5_chat,
     "op7_topk": topk.op7_topk,
+    "op8_suffixes": suffixes.op8_suffixes,
     "op9_warc": warc.op9_warc,
     "op10_substrings": substrings.op10_substrings,
 }
