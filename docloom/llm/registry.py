@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing, quality, simhash, substrings, suffixes, topk, warc
+from . import chat, mixing, packing, pii, quality, simhash, substrings, suffixes, topk, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op4_packing": packing.op4_packing,
     "op5_chat": chat.op5_chat,
+    "op6_pii": pii.op6_pii,
     "op7_topk": topk.op7_topk,
     "op8_suffixes": suffixes.op8_suffixes,
     "op9_warc": warc.op9_warc,
