@@ -48,18 +48,24 @@ def source_targets(totals: DataFrame, weights=(5, 2, 1), share: float = 1.5, mos
     return t.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(doc_id, source, text) -> doc_id, source, size, source_size, target, copies, taken."""
+def _joiner(few: bool):
+    """Joins rows with a table by source: broadcast if that is known to be small, else Catalyst's choice."""
+
+    def with_source(left: DataFrame, right: DataFrame) -> DataFrame:
+        right = right.withColumnRenamed("source", "its_source")
+        return left.join(F.broadcast(right) if few else right, left["source"].eqNullSafe(right["its_source"])).drop("its_source")
+
+    return with_source
+
+
+def plan(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0) -> tuple[DataFrame, DataFrame, bool]:
+    """(doc_id, source, text) -> the documents' sizes and hashes; source, source_size, target, whole, last_in; are sources few?"""
     sized = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), doc_hash(F.col("doc_id")).alias("h")))
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     targets = cut(targets.withColumn("whole", whole.cast("long")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("base", F.lit(0).cast("long")))
     few = targets.count() <= BROADCAST_ROWS
-    small = F.broadcast if few else (lambda df: df)
-
-    def with_source(left: DataFrame, right: DataFrame) -> DataFrame:
-        right = right.withColumnRenamed("source", "its_source")
-        return left.join(small(right), left["source"].eqNullSafe(right["its_source"])).drop("its_source")
+    with_source = _joiner(few)
 
     rows, state = sized, targets.select("source", "rest", "base")
     for level in range(LEVELS):
@@ -77,10 +83,27 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.
     # The last bucket is one hash: it is in if that ends nearer to the rest.
     last = state.select("source", F.when(F.col("base") + F.col("words") / 2.0 <= F.col("rest"), F.col("at")).otherwise(F.col("at") - 1).alias("last_in"))
     last = last.withColumnRenamed("source", "its_source")
-    plan = targets.join(small(last), targets["source"].eqNullSafe(last["its_source"]), "left").select("source", "source_size", "target", "whole", F.coalesce("last_in", F.lit(-1)).alias("last_in"))
-    out = with_source(sized, plan)
-    copies = F.col("whole") + F.when(F.col("h") <= F.col("last_in"), 1).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    out = targets.join(last, targets["source"].eqNullSafe(last["its_source"]), "left")
+    return sized, cut(out.select("source", "source_size", "target", "whole", F.coalesce("last_in", F.lit(-1)).alias("last_in"))), few
+
+
+def _copies():
+    return F.col("whole") + F.when(F.col("h") <= F.col("last_in"), 1).otherwise(0)
+
+
+def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """(doc_id, source, text) -> doc_id, source, size, source_size, target, copies, taken."""
+    sized, targets, few = plan(docs, weights, share, most)
+    out = _joiner(few)(sized, targets)
+    return out.select("doc_id", "source", "size", "source_size", "target", _copies().alias("copies"), (_copies() * F.col("size")).alias("taken"))
+
+
+def mixture(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The documents that the mix takes, each as often as it takes it, with their columns; a filter over the documents."""
+    _, targets, few = plan(docs, weights, share, most)
+    packed = docs.select(F.col("source"), doc_hash(F.col("doc_id")).alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    taken = _joiner(few)(packed, targets).select("row", F.explode(F.array_repeat(F.lit(0), _copies().cast("int"))))
+    return taken.select("row.*")
 
 
 def op1_mixing(spark, sf_dir):

@@ -20,7 +20,7 @@ unless all of it are null; equal rows are linked; an empty table gives an empty
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -36,19 +36,23 @@ SEED, BITS, SHINGLE, MAX_BITS = 42, 64, 4, 4
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), "int64", len(words)) + 1) - 1
     first = np.concatenate([[0], ends[:-1] + 1])
     if len(words) > shingle:
-        first, ends = first[: 1 - shingle] if shingle > 1 else first, ends[shingle - 1 :]
+        first, ends = first[: len(words) - shingle + 1], ends[shingle - 1 :]
     else:
         first, ends = first[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(first.tolist(), ends.tolist(), strict=True)], "<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(first.tolist(), ends.tolist(), strict=True)], "<u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    hashes = shingle_hashes(text, shingle)
     count = np.zeros(BITS, "int64")
     for k in range(0, len(hashes), 1 << 15):
         part = hashes[k : k + (1 << 15)].view("uint8").reshape(-1, 8)
@@ -93,30 +97,62 @@ def _near(a, b, max_bits: int):
     return F.bit_count(a.bitwiseXOR(b)) <= max_bits
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(fp, copies), distinct -> (node, low): components of fingerprints within max_bits of each other, as components() gives them."""
+def links(fps: DataFrame, max_bits: int = MAX_BITS, verify: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+    """(fp, copies), distinct -> (node, low): components of fingerprints within max_bits of each other, as components() gives them.
+
+    ``verify`` may drop pairs (a, b) of fingerprints that are near but whose texts aren't.
+    """
     plan = segments(fps.count(), max_bits)
     values = _values(F.col("fp"), plan)
     keys = F.array(*[v + F.lit(k << 56) for k, v in enumerate(values)])
     entries = fps.select("fp", "copies", F.explode(keys).alias("key"))
     mixed = F.xxhash64("fp")
     pivots = entries.groupBy("key").agg(F.count("*").alias("n"), F.array(F.max_by("fp", "copies"), F.min("fp"), F.max("fp"), F.min_by("fp", mixed), F.max_by("fp", mixed)).alias("pivots")).filter("n > 1").drop("n")
-    stars = entries.join(pivots, "key").select("fp", F.explode(F.array_distinct("pivots")).alias("p")).filter((F.col("p") != F.col("fp")) & _near(F.col("fp"), F.col("p"), max_bits))
-    rough = cut(components(stars.select(F.col("fp").alias("u"), F.col("p").alias("v"))))
+    stars = entries.join(pivots, "key").select(F.col("fp").alias("a"), F.explode(F.array_distinct("pivots")).alias("b")).filter((F.col("a") != F.col("b")) & _near(F.col("a"), F.col("b"), max_bits))
+    stars = verify(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    rough = cut(components(stars.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     known = cut(fps.join(rough, fps["fp"] == rough["node"], "left").select("fp", F.coalesce("low", "fp").alias("c")))
     probes = F.concat(*[_around(v, k, width, radius) for k, (v, (_, width, radius)) in enumerate(zip(values, plan, strict=True))])
     left = known.select(F.col("fp").alias("a"), F.col("c").alias("ca"), F.explode(probes).alias("key"))
     right = known.select(F.col("fp").alias("b"), F.col("c").alias("cb"), F.explode(keys).alias("key"))
     found = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near(F.col("a"), F.col("b"), max_bits))
-    across = found.select(F.col("ca").alias("u"), F.col("cb").alias("v"))
+    across = verify(found.select("a", "b", "ca", "cb").distinct()).select(F.col("ca").alias("u"), F.col("cb").alias("v"))
     return components(rough.select(F.col("node").alias("u"), F.col("low").alias("v")).union(across))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, text) -> doc_id, fingerprint, component_id."""
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(text) -> fp, shingles: the hashes of the text's shingles, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            sets = pa.array([np.unique(shingle_hashes(t, shingle)).view("int64") for t in texts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(t, shingle) for t in texts], pa.int64()), sets], ["fp", "shingles"])
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "fp long, shingles array<long>")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, min_similarity: float | None = None) -> DataFrame:
+    """(doc_id, text) -> doc_id, fingerprint, component_id.
+
+    With ``min_similarity``, fingerprints link only if the shingle sets of their first documents also have that Jaccard
+    similarity; equal fingerprints always do.
+    """
     found = cut(fingerprints(docs, shingle))
     fps = cut(found.groupBy("fp").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")))
-    linked = links(fps.select("fp", "copies"), max_bits)
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        if min_similarity is None:
+            return pairs
+        pairs = cut(pairs)
+        nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+        who = nodes.join(fps, "fp").select(F.col("first_id").alias("doc_id")).distinct()
+        sets = cut(shingle_sets(docs.select("doc_id", "text").join(who, "doc_id", "left_semi"), shingle).join(nodes, "fp", "left_semi").dropDuplicates(["fp"]))
+        left, right = (sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+        both = pairs.join(left, "a").join(right, "b")
+        return both.filter(F.size(F.array_intersect("sa", "sb")) >= F.lit(min_similarity) * F.size(F.array_union("sa", "sb"))).drop("sa", "sb")
+
+    linked = links(fps.select("fp", "copies"), max_bits, verify)
     low = fps.join(linked, fps["fp"] == linked["node"], "left").select("fp", "first_id", F.coalesce("low", "fp").alias("low"))
     named = low.join(low.groupBy("low").agg(F.min("first_id").alias("component_id")), "low").select("fp", "component_id")
     return found.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
