@@ -13,7 +13,7 @@ MOST_BYTES = 25 * 1024 * 1024
 
 
 def load(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """name (without folders), content_type, bytes, content."""
+    """name (without folders), content_type, bytes, content. Spark's reader leaves out files without a byte."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     return f.select(name.alias("name"), content_type(name).alias("content_type"), F.col("length").alias("bytes"), "content")
