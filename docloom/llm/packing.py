@@ -7,7 +7,8 @@ driver from a histogram of at most ``size`` rows, whatever the corpus is:
 1. pieces that fill a sequence stand alone;
 2. from the longest length down, the gap it leaves is looked up in an index of single, pair and triple sums of the
    lengths still in stock, and as many such exact combinations are consumed as the counts allow;
-3. the rest is packed best-fit decreasing, by counts of equal gaps.
+3. the rest is packed best-fit decreasing, by counts of equal gaps;
+4. this is done with exact fillings from several lengths down, and the plan with the fewest sequences is taken.
 
 The plan is a list of slots (length, rank from, per sequence, sequences, first sequence, offset) whose number depends
 on ``size`` only. Each piece gets a rank among those of its length by (bucket, doc_id, piece, checksum) from counts
@@ -127,11 +128,13 @@ class _Stock:
         if not self.n[length]:
             self.lengths.pop(bisect.bisect_left(self.lengths, length))
 
-    def complement(self, gap: int, used: dict[int, int]) -> list[int] | None:
-        """One, two or three lengths in stock that fill the gap exactly, beside what is used; longest first."""
+    def complement(self, gap: int, used: dict[int, int], most: int) -> list[int] | None:
+        """One, two or three lengths (``most`` at most) in stock that fill the gap exactly, beside what is used; longest first."""
         left = lambda x, more: self.n.get(x, 0) - used.get(x, 0) - more
-        if left(gap, 0) > 0:
+        if most > 0 and left(gap, 0) > 0:
             return [gap]
+        if most < 2:
+            return None
         below = self.lengths[: bisect.bisect_left(self.lengths, gap)]
         for a in reversed(below):
             if 2 * a < gap:
@@ -139,7 +142,7 @@ class _Stock:
             b = gap - a
             if left(a, 0) > 0 and left(b, a == b) > 0:
                 return [a, b]
-        for a in reversed(below):
+        for a in reversed(below) if most > 2 else ():
             if 3 * a < gap:
                 break
             if left(a, 0) <= 0:
@@ -155,29 +158,36 @@ class _Stock:
 
 
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[dict[int, int], int]]:
-    """Patterns ({length: pieces in a sequence}, number of sequences) that use up all counts."""
+    """Patterns ({length: pieces in a sequence}, number of sequences) that use up all counts.
+
+    Short pieces spent too early on exact combinations are missed by later gaps, so it matters from which length down
+    gaps are filled with them. A plan costs little whatever the corpus: several such lengths are tried, and the plan
+    with the fewest sequences wins, of equal ones that which starts earliest.
+    """
+    return min((_plan(counts, size, size // n) for n in (1, 2, 3, 4, 6, 8, 12, 16)), key=lambda p: sum(n for _, n in p))
+
+
+def _plan(counts: dict[int, int], size: int, short: int) -> list[tuple[dict[int, int], int]]:
+    """Longer pieces best-fit, then their gaps exactly by one to three of the short ones, then the rest best-fit."""
     stock, patterns = _Stock(counts), []
 
-    def use(lengths: list[int]) -> None:
+    def consume(content: dict[int, int], added: list[int], most: int | None = None) -> int:
         need = defaultdict(int)
-        for x in lengths:
+        for x in added:
             need[x] += 1
         many = min(stock.n[x] // k for x, k in need.items())
+        many = many if most is None else min(many, most)
         for x, k in need.items():
             stock.take(x, k * many)
-        patterns.append((dict(need), many))
+        patterns.append(({x: content.get(x, 0) + need.get(x, 0) for x in {*content, *need}}, many))
+        return many
 
     if stock.n.get(size):
-        use([size])
-    hard: list[int] = []
+        consume({}, [size])
     for length in sorted(stock.lengths, reverse=True):
-        while stock.n.get(length, 0) > 0:
-            found = stock.complement(size - length, {length: 1})
-            if found is None:
-                break
-            use([length, *found])
-        if stock.n.get(length, 0) > 0:
-            hard.append(length)
+        most = 3 if short >= size else 1
+        while stock.n.get(length, 0) > 0 and (found := stock.complement(size - length, {length: 1}, most)):
+            consume({}, [length, *found])
     # Best fit decreasing over what is left: open sequences with equal contents are one entry of ``gaps``.
     opened: dict[int, list[tuple[dict[int, int], int]]] = defaultdict(list)
     gaps: list[int] = []
@@ -190,28 +200,41 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[dict[int, int],
             bisect.insort(gaps, gap)
         opened[gap].append((content, many))
 
-    for length in sorted((x for x in stock.lengths if stock.n[x] > 0), reverse=True):
-        left = stock.n[length]
-        while left:
-            k = bisect.bisect_left(gaps, length)
-            if k < len(gaps):
-                gap = gaps[k]
-                content, many = opened[gap].pop()
-                if not opened[gap]:
-                    gaps.pop(k)
-                n = min(left, many)
-                if many > n:
-                    put(content, many - n, gap)
-                put({**content, length: content.get(length, 0) + 1}, n, gap - length)
-                left -= n
-                continue
-            fit = size // length
-            if left >= fit:
-                put({length: fit}, left // fit, size - fit * length)
-                left %= fit
-            else:
-                put({length: left}, 1, size - left * length)
-                left = 0
+    def best_fit(lengths: list[int]) -> None:
+        for length in lengths:
+            left = stock.n[length]
+            stock.take(length, left)
+            while left:
+                k = bisect.bisect_left(gaps, length)
+                if k < len(gaps):
+                    gap = gaps[k]
+                    content, many = opened[gap].pop()
+                    if not opened[gap]:
+                        gaps.pop(k)
+                    n = min(left, many)
+                    if many > n:
+                        put(content, many - n, gap)
+                    put({**content, length: content.get(length, 0) + 1}, n, gap - length)
+                    left -= n
+                    continue
+                fit = size // length
+                if left >= fit:
+                    put({length: fit}, left // fit, size - fit * length)
+                    left %= fit
+                else:
+                    put({length: left}, 1, size - left * length)
+                    left = 0
+
+    best_fit([x for x in reversed(stock.lengths) if x > short])
+    for gap in sorted(gaps, reverse=True):
+        while opened[gap] and (found := stock.complement(gap, {}, 3)):
+            content, many = opened[gap].pop()
+            done = consume(content, found, many)
+            if many > done:
+                opened[gap].append((content, many - done))
+        if not opened[gap]:
+            gaps.remove(gap)
+    best_fit(list(reversed(stock.lengths)))
     patterns += [x for gap in gaps for x in opened[gap]]
     return patterns
 
