@@ -23,7 +23,7 @@ from .common import shuffle_partitions
 
 U = np.uint64
 #: Bytes that are hashed at a time.
-STEP = 1 << 20
+STEP = 1 << 18
 #: Sorts after every id; the place of a null id.
 NO_ID = np.iinfo("int64").max
 
@@ -64,11 +64,13 @@ class Chunk:
 
     def __init__(self, t: pa.Table) -> None:
         found: dict[tuple, list] = {}
-        for k1, k2, d, text in zip(*(t.column(c).to_pylist() for c in ("k1", "k2", "doc_id", "text")), strict=True):
+        keys = zip(*(t.column(c).to_pylist() for c in ("k1", "k2", "doc_id")), strict=True)
+        texts = t.column("text").cast(pa.binary())
+        for i, (k1, k2, d) in enumerate(keys):
             have = found.setdefault((k1, k2), [NO_ID, b""])
             have[0] = min(have[0], NO_ID if d is None else d)
-            if text is not None:
-                have[1] = text.encode("utf-8", "surrogatepass")
+            if not have[1]:
+                have[1] = texts[i].as_py() or b""
         self.keys = sorted(found)
         self.ids = np.array([found[k][0] for k in self.keys], "int64")
         self.texts = [found[k][1] for k in self.keys]

@@ -118,7 +118,9 @@ def _context(n: int):
             done += len(blob)
         if not heads:
             return R.rows_of(names, out)
+        del c
         head, x, bucket = np.concatenate(heads), np.concatenate(strings), np.concatenate(buckets)
+        strings.clear()
         k1, k2 = (np.concatenate([k[i] for k in keys]) for i in range(2))
         by = np.lexsort((k2, k1))
         new = np.concatenate([[True], (k1[by][1:] != k1[by][:-1]) | (k2[by][1:] != k2[by][:-1])])
@@ -135,6 +137,7 @@ def _context(n: int):
         cuts = np.flatnonzero(np.diff(bucket[one])) + 1
         for p in np.split(one, cuts):
             out.append((int(bucket[p[0]]), chunk, head[p].tobytes() + x[p].tobytes()))
+        del x
         return R.rows_of(names, out)
 
     return step
