@@ -125,14 +125,16 @@ def rows_of(names: list[str], rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array([r[k] for r in rows], kinds.get(n, pa.int32())) for k, n in enumerate(names)})
 
 
-def packed(hashes: np.ndarray, flags: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
-    """(bucket, sorted 30-bit rests of its hashes, each once, with two flag bits): bit 0: met twice or more; bit 1: flags."""
+def packed(hashes: np.ndarray, flags: np.ndarray, buckets: int, many: int | None = None) -> list[tuple[int, bytes]]:
+    """(bucket, sorted 30-bit rests of its hashes, each once, with two flag bits): bit 0: met twice or more; bit 1: flags, or met ``many`` times."""
     places = place(hashes, buckets)
     by = np.argsort(places, kind="stable")
     places, flags = places[by], flags[by]
     first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]])) if len(places) else np.zeros(0, "int64")
     twice = np.diff(np.append(first, len(places))) > 1
     flagged = np.maximum.reduceat(flags.astype("uint8"), first) if len(first) else np.zeros(0, "uint8")
+    if many is not None:
+        flagged = flagged | (np.diff(np.append(first, len(places))) >= many)
     places = places[first]
     value = ((places & U((1 << 30) - 1)) << U(2) | flagged.astype("uint64") << U(1) | twice.astype("uint64")).astype("<u4")
     bucket = (places >> U(30)).astype("int64")
@@ -145,31 +147,40 @@ def place(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return hashes % U(buckets) << U(30) | (hashes // U(buckets)) & U((1 << 30) - 1)
 
 
-def shared(t: pa.Table) -> pa.Table:
-    """For a bucket: to each chunk, those of its hashes that are flagged somewhere and met twice or more in all."""
-    chunks, bucket = t.column("chunk").to_pylist(), t.column("bucket")[0].as_py()
-    parts = [np.frombuffer(p, "<u4") for p in t.column("payload").to_pylist()]
-    every = np.concatenate(parts)
-    order = np.argsort(every, kind="stable")
-    value = every[order] >> np.uint32(2)
-    first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-    seen = np.add.reduceat((1 + (every[order] & 1)).astype("int64"), first)
-    flagged = np.maximum.reduceat((every[order] >> np.uint32(1) & 1).astype("uint8"), first)
-    hits = value[first][(seen > 1) & (flagged > 0)]
-    out = []
-    for c, p in zip(chunks, parts, strict=True):
-        own = p >> np.uint32(2)
-        at = np.searchsorted(hits, own)
-        own = own[(at < len(hits)) & (hits[np.minimum(at, max(len(hits) - 1, 0))] == own)] if len(hits) else own[:0]
-        if len(own):
-            out.append((c, bucket, own.astype("<u4").tobytes()))
-    return rows_of(["chunk", "bucket", "payload"], out)
-
-
-def hit_places(t: pa.Table) -> np.ndarray:
-    """All hits of a chunk, as place() gives them, sorted."""
-    parts = [U(b) << U(30) | np.frombuffer(p, "<u4").astype("uint64") for b, p in zip(t.column("bucket").to_pylist(), t.column("payload").to_pylist(), strict=True)]
-    return np.sort(np.concatenate(parts)) if parts else np.zeros(0, "uint64")
+def shared(must_flag: bool):
+    """For a bucket: to each chunk, those of its hashes that were met twice or more in all (and are flagged somewhere), with the flag."""
+
+    def step(t: pa.Table) -> pa.Table:
+        chunks, bucket = t.column("chunk").to_pylist(), t.column("bucket")[0].as_py()
+        parts = [np.frombuffer(p, "<u4") for p in t.column("payload").to_pylist()]
+        every = np.sort(np.concatenate(parts))
+        value = every >> np.uint32(2)
+        first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        seen = np.add.reduceat((1 + (every & np.uint32(1))).astype("int64"), first)
+        flagged = np.maximum.reduceat((every >> np.uint32(1) & np.uint32(1)).astype("uint8"), first)
+        hit = (seen > 1) & (flagged > 0) if must_flag else seen > 1
+        hits, flags, out = value[first][hit], flagged[hit], []
+        for c, p in zip(chunks, parts, strict=True):
+            own = p >> np.uint32(2)
+            known = among(own, hits)
+            if known.any():
+                own = own[known]
+                out.append((c, bucket, (own << np.uint32(1) | flags[np.searchsorted(hits, own)]).astype("<u4").tobytes()))
+        return rows_of(["chunk", "bucket", "payload"], out)
+
+    return step
+
+
+def hit_places(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All hits of a chunk, as place() gives them, sorted; which of them are flagged."""
+    places, flags = [np.zeros(0, "uint64")], [np.zeros(0, bool)]
+    for b, p in zip(t.column("bucket").to_pylist(), t.column("payload").to_pylist(), strict=True):
+        v = np.frombuffer(p, "<u4")
+        places.append(U(b) << U(30) | (v >> np.uint32(1)).astype("uint64"))
+        flags.append((v & np.uint32(1)) > 0)
+    places, flags = np.concatenate(places), np.concatenate(flags)
+    by = np.argsort(places)
+    return places[by], flags[by]
 
 
 def among(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:

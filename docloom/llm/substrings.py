@@ -84,7 +84,7 @@ def _extend(n: int):
         out: list[tuple] = []
         if not len(t) or not len(hits):
             return R.rows_of(["bucket", "chunk", "payload"], out)
-        chunk, c, known, found = t.column("chunk")[0].as_py(), R.Chunk(t), R.hit_places(hits), []
+        chunk, c, known, found = t.column("chunk")[0].as_py(), R.Chunk(t), R.hit_places(hits)[0], []
         for a, b in R.steps([len(x) for x in c.texts]):
             w = Words(c.texts[a:b])
             starts = w.windows(BLOCK)
@@ -186,7 +186,7 @@ def _remove(t: pa.Table, late: pa.Table) -> pa.Table:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, n_words, n_removed, kept_sha256."""
     texts, n = R.chunked(docs)
-    hits = R.by_bucket(texts.groupBy("chunk").applyInArrow(_index(n), R.BUCKETED), n, R.shared)
+    hits = R.by_bucket(texts.groupBy("chunk").applyInArrow(_index(n), R.BUCKETED), n, R.shared(must_flag=True))
     late = R.by_bucket(R.with_texts(texts, hits, _extend(n), R.BUCKETED), n, _not_first)
     done = R.with_texts(texts, late, _remove, "k1 long, k2 long, first_id long, n_words long, n_removed long, kept_sha256 string")
     every = R.members(docs, done)

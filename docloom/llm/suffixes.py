@@ -16,6 +16,11 @@ document has bytes, each over everything built so far. Here the strings are firs
    sequence, so they may as well be files.
 4. Spans of repeating windows go back to the chunks, which cut the bytes out.
 
+An anchor that a chunk has very often (at the edge of a passage that a large share of all documents have) would bring
+too many different strings to one bucket. The buckets of step 1 name such anchors to all chunks, and their windows are
+compared one by one instead: 128-bit hashes, each once a chunk, spread over all buckets. So a bucket's memory stays
+bounded, and the result is the same.
+
 Equal windows have the same place in the string about their anchors, so comparing suffixes of one column is enough; as
 every place of a text is in a column of one anchor once, no window is compared with itself. Copies of a whole text are
 found by its key before and are searched once.
@@ -45,6 +50,13 @@ _ROLL = R.Powers(0x9E3779B97F4A7C15)
 _STRINGS = R.Powers(0xD1342543DE82EF95)
 _STRINGS_TOO = R.Powers(0xA0761D6478BD642F)
 _LOW = (1 << 24) - 1
+#: Strings of one anchor that a bucket takes about, before its windows go one by one.
+PER_ANCHOR = 100_000
+
+
+def often(n: int) -> int:
+    """How many times a chunk of n has an anchor that counts as very frequent."""
+    return max(8, PER_ANCHOR // n)
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -77,12 +89,12 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return blob, place, hashes[place], (end - sizes)[owner], end[owner]
 
 
-def _index(n: int):
+def _index(n: int, many: int):
     def step(t: pa.Table) -> pa.Table:
         chunk, c = t.column("chunk")[0].as_py(), R.Chunk(t)
         found = [anchors(c.texts[a:b])[2] for a, b in R.steps([len(x) for x in c.texts])]
         h = np.concatenate(found) if found else np.zeros(0, "uint64")
-        return R.rows_of(["bucket", "chunk", "payload"], [(b, chunk, p) for b, p in R.packed(h, np.ones(len(h), bool), n)])
+        return R.rows_of(["bucket", "chunk", "payload"], [(b, chunk, p) for b, p in R.packed(h, np.zeros(len(h), bool), n, many)])
 
     return step
 
@@ -96,11 +108,15 @@ def _context(n: int):
         names, out = ["bucket", "chunk", "payload"], []
         if not len(t) or not len(hits):
             return R.rows_of(names, out)
-        chunk, c, known = t.column("chunk")[0].as_py(), R.Chunk(t), R.hit_places(hits)
-        heads, strings, buckets, keys, done = [], [], [], [], 0
+        chunk, c, (known, frequent) = t.column("chunk")[0].as_py(), R.Chunk(t), R.hit_places(hits)
+        heads, strings, buckets, keys, single, done = [], [], [], [], [], 0
         for a, b in R.steps([len(x) for x in c.texts]):
             blob, place, h, first, last = anchors(c.texts[a:b])
             mine = np.flatnonzero(R.among(R.place(h, n), known))
+            apart = frequent[np.searchsorted(known, R.place(h[mine], n))]
+            if apart.any():
+                single.append(_windows(blob, place[mine[apart]], first[mine[apart]], last[mine[apart]], done))
+            mine = mine[~apart]
             if len(mine):
                 place, h, first, last = place[mine], h[mine], first[mine], last[mine]
                 padded = np.concatenate([np.full(BEFORE, NOTHING, "uint8"), blob, np.full(LENGTH, NOTHING, "uint8")])
@@ -116,9 +132,11 @@ def _context(n: int):
                 strings.append(x)
                 buckets.append((h % U(n)).astype("int64"))
             done += len(blob)
+        del c
+        if single:
+            out += _send_windows(np.concatenate(single), n, chunk)
         if not heads:
             return R.rows_of(names, out)
-        del c
         head, x, bucket = np.concatenate(heads), np.concatenate(strings), np.concatenate(buckets)
         strings.clear()
         k1, k2 = (np.concatenate([k[i] for k in keys]) for i in range(2))
@@ -131,7 +149,7 @@ def _context(n: int):
         from_, to = head["at"] - head["before"], head["at"] + head["after"]
         whole = again & (to - from_ >= LENGTH)
         if whole.any():
-            out.append((n + chunk, chunk, np.stack([from_[whole], to[whole]], 1).astype("<i8").tobytes()))
+            out.append((2 * n + chunk, chunk, np.stack([from_[whole], to[whole]], 1).astype("<i8").tobytes()))
         one = np.sort(by[new])
         one = one[np.argsort(bucket[one], kind="stable")]
         cuts = np.flatnonzero(np.diff(bucket[one])) + 1
@@ -143,6 +161,50 @@ def _context(n: int):
     return step
 
 
+_WINDOW = np.dtype([("h", "<u8"), ("g", "<u8"), ("at", "<i8")])
+
+
+def _windows(blob: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray, done: int) -> np.ndarray:
+    """All windows of one text around these anchors, by two hashes."""
+    start = place[:, None] - np.arange(BEFORE + 1)[None]
+    start = np.unique(start[(start >= first[:, None]) & (start + LENGTH <= last[:, None])])
+    x = np.zeros(len(start), _WINDOW)
+    values = blob.astype("uint64") + U(1)
+    x["h"], x["g"], x["at"] = _STRINGS.slices(values, start, start + LENGTH), _STRINGS_TOO.slices(values, start, start + LENGTH), start + done
+    return x
+
+
+def _send_windows(x: np.ndarray, n: int, chunk: int) -> list[tuple]:
+    """Windows that the chunk has twice are settled; one of each goes to the bucket of its hash, from n on."""
+    x = x[np.lexsort((x["g"], x["h"]))]
+    first = np.concatenate([[True], (x["h"][1:] != x["h"][:-1]) | (x["g"][1:] != x["g"][:-1])]) if len(x) else np.zeros(0, bool)
+    twice = ~first | np.append(~first[1:], False) if len(x) else first
+    at = np.sort(x["at"][twice])
+    out = [(2 * n + chunk, chunk, np.stack([at, at + LENGTH], 1).astype("<i8").tobytes())] if len(at) else []
+    x = x[first]
+    bucket = (x["h"] % U(n)).astype("int64")
+    by = np.argsort(bucket, kind="stable")
+    for p in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
+        if len(p):
+            out.append((n + int(bucket[p[0]]), chunk, x[p].tobytes()))
+    return out
+
+
+def _settle_windows(chunks: list[int], bucket: int, payload: list[bytes]) -> list[tuple]:
+    x = np.concatenate([np.frombuffer(p, _WINDOW) for p in payload])
+    owner = np.repeat(np.array(chunks), [len(p) // _WINDOW.itemsize for p in payload])
+    by = np.lexsort((x["g"], x["h"]))
+    same = (x["h"][by][1:] == x["h"][by][:-1]) & (x["g"][by][1:] == x["g"][by][:-1])
+    hit = np.zeros(len(x), bool)
+    hit[by] = np.append(same, False) | np.concatenate([[False], same])
+    out = []
+    for c in dict.fromkeys(chunks):
+        at = np.sort(x["at"][hit & (owner == c)])
+        if len(at):
+            out.append((c, bucket, np.stack([at, at + LENGTH], 1).astype("<i8").tobytes()))
+    return out
+
+
 def columns_repeat(x: np.ndarray, length: int, last: int) -> np.ndarray:
     """For equally long strings x: whether the ``length`` symbols from each of the first ``last`` columns also start there in another string."""
     m, width = x.shape
@@ -170,12 +232,6 @@ def columns_repeat(x: np.ndarray, length: int, last: int) -> np.ndarray:
     return found
 
 
-def _verdict(t: pa.Table) -> pa.Table:
-    """For a bucket: to each chunk, the spans (start, end) of its bytes that repeat."""
-    chunks, bucket, payload = t.column("chunk").to_pylist(), t.column("bucket").to_pylist(), t.column("payload").to_pylist()
-    return R.rows_of(["chunk", "bucket", "payload"], _settle(chunks, bucket[0], payload))
-
-
 def _settle(chunks: list[int], bucket: int, payload: list[bytes]) -> list[tuple]:
     size = _HEAD.itemsize + WIDTH
     counts = [len(p) // size for p in payload]
@@ -198,10 +254,14 @@ def _settle(chunks: list[int], bucket: int, payload: list[bytes]) -> list[tuple]
 
 
 def _bucket(n: int):
+    """For a bucket: to each chunk, the spans (start, end) of its bytes that repeat."""
+
     def step(t: pa.Table) -> pa.Table:
-        if t.column("bucket")[0].as_py() >= n:
+        bucket = t.column("bucket")[0].as_py()
+        if bucket >= 2 * n:
             return t.select(["chunk", "bucket", "payload"])
-        return _verdict(t)
+        settle = _settle if bucket < n else _settle_windows
+        return R.rows_of(["chunk", "bucket", "payload"], settle(t.column("chunk").to_pylist(), bucket, t.column("payload").to_pylist()))
 
     return step
 
@@ -237,7 +297,7 @@ def _remove(t: pa.Table, spans: pa.Table) -> pa.Table:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     texts, n = R.chunked(docs)
-    hits = R.by_bucket(texts.groupBy("chunk").applyInArrow(_index(n), R.BUCKETED), n, R.shared)
+    hits = R.by_bucket(texts.groupBy("chunk").applyInArrow(_index(n, often(n)), R.BUCKETED), n, R.shared(must_flag=False))
     spans = R.by_bucket(R.with_texts(texts, hits, _context(n), R.BUCKETED), n, _bucket(n))
     done = R.with_texts(texts, spans, _remove, "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     every = R.members(docs, done)
