@@ -87,17 +87,25 @@ def bucket_at_least(c: Column) -> Column:
 
 
 def bucket_above(c: Column) -> Column:
-    """For a document: high above 0.85, medium above 0.6, else low; differs from the above at just those two."""
-    return F.when(c > 0.85, "high").when(c > 0.6, "medium").otherwise("low")
+    """For a document: none, high above 0.85, medium above 0.6, else low; differs from the above at just those two."""
+    return F.when(c.isNull(), "none").when(c > 0.85, "high").when(c > 0.6, "medium").otherwise("low")
 
 
 def match_badge(score: Column) -> Column:
     return F.when(score >= 85, "strong").when(score >= 70, "likely").otherwise("weak")
 
 
+#: Parts of an error's text, lower case, that make it worth another try.
+TRANSIENT = ["503", "overloaded", "unavailable", "429", "resource_exhausted", "rate limit", "try again", "timeout", "deadline", "500", "internal"]
+
+
 def is_transient(code: Column, message: Column) -> Column:
     """Worth another try: rate limits, server errors, and messages that say so."""
-    return F.coalesce(code.isin(429, 500, 503), F.lit(False)) | F.coalesce(F.upper(message).rlike("429|500|503|RESOURCE_EXHAUSTED|UNAVAILABLE|OVERLOADED|INTERNAL"), F.lit(False))
+    said = F.lower(F.coalesce(message, F.lit("")))
+    found = F.coalesce(code.isin(429, 500, 503), F.lit(False))
+    for part in TRANSIENT:
+        found = found | F.contains(said, F.lit(part))
+    return found
 
 
 def doc_type_of(content: Column) -> Column:

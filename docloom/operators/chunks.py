@@ -10,7 +10,7 @@ TEXT_PAGES, IMAGE_PAGES, CHARS_A_PAGE = 6, 2, 200
 
 def is_digital(pages: DataFrame) -> DataFrame:
     """(document_id, text) a row a page -> document_id, pages, chars, digital: trimmed text of (200 * pages) // 2 characters or more."""
-    n = pages.groupBy("document_id").agg(F.count("*").alias("pages"), F.sum(F.length(F.trim(F.coalesce("text", F.lit(""))))).alias("chars"))
+    n = pages.groupBy("document_id").agg(F.count("*").alias("pages"), F.sum(F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", ""))).alias("chars"))
     return n.withColumn("digital", F.col("chars") >= F.floor(F.col("pages") * CHARS_A_PAGE / 2))
 
 

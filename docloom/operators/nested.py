@@ -167,21 +167,35 @@ def push_payload(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("id").alias("document_id"), F.struct(F.lit("1.0").alias("payload_version"), F.lit("document.approved").alias("event"), F.col("id").alias("document_id"), "shop_id", "doc_type", "overall_confidence", "schema_version", "data", "meta").alias("payload"))
 
 
-#: The six fields of an invoice item that review screens show.
-SHOWN = {"invoice": ["description", "batch_no", "expiry", "quantity", "mrp", "amount"], "prescription": ["name", "strength", "form", "frequency", "duration", "instructions"]}
+#: What review screens show, section by section, with its labels; then each list element's six fields.
+HEAD_SECTIONS = {
+    "invoice": {"supplier": ("supplier", {"name": "Supplier", "gstin": "GSTIN"}), "invoiceDetails": ("invoice", {"invoice_no": "Invoice no", "invoice_date": "Date", "total_amount": "Total"})},
+    "prescription": {"patient": ("patient", {"name": "Name", "age": "Age", "gender": "Gender"}), "prescriber": ("prescriber", {"name": "Doctor", "registration_no": "Reg. no"})},
+}
+ITEM_SECTIONS = {
+    "invoice": ("lineItems", {"description": "Item", "batch_no": "Batch", "expiry": "Expiry", "quantity": "Qty", "mrp": "MRP", "rate": "Rate"}),
+    "prescription": ("medications", {"name": "Medicine", "strength": "Strength", "form": "Form", "frequency": "Frequency", "duration": "Duration", "instructions": "Instructions"}),
+}
+
+
+def _shown(node: Column, labels: dict[str, str]) -> Column:
+    return F.array(*[F.struct(F.lit(label).alias("label"), node[n]["value"].alias("value"), node[n]["confidence"].alias("confidence")) for n, label in labels.items()])
 
 
 def sections(docs: DataFrame, doc_type: str) -> DataFrame:
-    """A row a list element: its number from 1 and the shown leaves, in order."""
-    one = docs.select("document_id", F.posexplode(F.col(f"data.{LISTS[doc_type]}")).alias("i", "row"))
-    shown = F.array(*[F.struct(F.lit(n).alias("field"), F.col(f"row.{n}.value").alias("value"), F.col(f"row.{n}.confidence").alias("confidence")) for n in SHOWN[doc_type]])
-    return one.select("document_id", (F.col("i") + 1).alias("section"), shown.alias("fields"))
+    """(document_id, data) -> document_id, section (from 1, in order), title, fields (label, value, confidence), item_no for list elements."""
+    kind = "invoice" if doc_type == "invoice" else "prescription"
+    none = F.lit(None).cast("int")
+    heads = [F.struct(F.lit(title).alias("title"), none.alias("item_no"), _shown(F.col(f"data.{group}"), labels).alias("fields")) for title, (group, labels) in HEAD_SECTIONS[kind].items()]
+    title, labels = ITEM_SECTIONS[kind]
+    items = F.transform(F.coalesce(F.col(f"data.{LISTS[kind]}"), F.array()), lambda x, i: F.struct(F.concat(F.lit(f"{title} #"), (i + 1).cast("string")).alias("title"), i.alias("item_no"), _shown(x, labels).alias("fields")))
+    return docs.select("document_id", F.posexplode(F.concat(F.array(*heads), items)).alias("i", "s")).select("document_id", (F.col("i") + 1).alias("section"), "s.title", "s.item_no", "s.fields")
 
 
-def item_summary(fields: Column, sep: str = " · ") -> Column:
-    """The first three filled secondary values (all but the first field), joined."""
-    said = F.transform(F.slice(fields, 2, 100), lambda x: x["value"])
-    return F.array_join(F.slice(F.filter(said, lambda x: F.coalesce(x, F.lit("")) != ""), 1, 3), sep)
+def item_summary(fields: Column, sep: str = "  ·  ") -> Column:
+    """The first three filled values after the first field, with their labels, joined."""
+    filled = F.filter(F.slice(fields, 2, 100), lambda x: F.coalesce(x["value"], F.lit("")) != "")
+    return F.array_join(F.transform(F.slice(filled, 1, 3), lambda x: F.concat(x["label"], F.lit(": "), x["value"])), sep)
 
 
 def mask_secret(connectors: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def date_parse(spark, sf_dir):
 WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_returnflag <> 'R' THEN l_discount * 10 END AS c FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(floor(c * 100 + 0.5), -1)::BIGINT AS percent,
        CASE WHEN c IS NULL THEN 'none' WHEN c < 0.6 THEN 'low' WHEN c < 0.85 THEN 'medium' ELSE 'high' END AS bucket_at_least,
-       CASE WHEN c > 0.85 THEN 'high' WHEN c > 0.6 THEN 'medium' ELSE 'low' END AS bucket_above,
+       CASE WHEN c IS NULL THEN 'none' WHEN c > 0.85 THEN 'high' WHEN c > 0.6 THEN 'medium' ELSE 'low' END AS bucket_above,
        CASE WHEN c * 100 >= 85 THEN 'strong' WHEN c * 100 >= 70 THEN 'likely' ELSE 'weak' END AS badge FROM c""")
 def confidence_buckets(spark, sf_dir):
     c = F.when(F.col("l_returnflag") != "R", F.col("l_discount") * 10)
@@ -153,17 +153,17 @@ def overall_confidence(spark, sf_dir):
 @query(f"""WITH {A.INVOICES}, n AS (SELECT document_id, (low < 0.6 OR coalesce(batch_low < 0.6 AND batch_no <> '', false) OR 100 - hsn::INT % 60 < 70) AS flag FROM items)
 SELECT document_id, count(*) FILTER (flag)::BIGINT AS needs_attention, count(*)::BIGINT AS items FROM n GROUP BY document_id""")
 def needs_attention_count(spark, sf_dir):
-    s = nested.sections(A.invoices(spark, sf_dir), "invoice")
-    best = F.lit(100.0) - F.col("hsn").cast("int") % 60
-    hsn = nested.flatten_rows(A.invoices(spark, sf_dir), "invoice").select("document_id", (F.col("item_no") + 1).alias("section"), "hsn")
-    flag = nested.needs_attention(F.col("fields"), best, F.lit(True))
-    return s.join(hsn, ["document_id", "section"]).groupBy("document_id").agg(F.count_if(flag).alias("needs_attention"), F.count("*").alias("items"))
+    s = nested.sections(A.invoices(spark, sf_dir), "invoice").filter("item_no IS NOT NULL")
+    hsn = nested.flatten_rows(A.invoices(spark, sf_dir), "invoice").select("document_id", "item_no", "hsn")
+    flag = nested.needs_attention(F.col("fields"), F.lit(100.0) - F.col("hsn").cast("int") % 60, F.lit(True))
+    return s.join(hsn, ["document_id", "item_no"]).groupBy("document_id").agg(F.count_if(flag).alias("needs_attention"), F.count("*").alias("items"))
 
 
-@query(f"WITH {A.INVOICES} SELECT document_id, (item_no + 1)::INT AS section, array_to_string(list_filter([batch_no, expiry, quantity, amount, amount], lambda x: x IS NOT NULL)[1:3], ' · ') AS summary FROM items")
+@query(f"""WITH {A.INVOICES} SELECT document_id, (item_no + 3)::INT AS section, 'lineItems #' || (item_no + 1) AS title,
+  array_to_string(list_filter(['Batch: ' || batch_no, 'Expiry: ' || expiry, 'Qty: ' || quantity, 'MRP: ' || amount], lambda x: x IS NOT NULL)[1:3], '  ·  ') AS summary FROM items""")
 def item_summaries(spark, sf_dir):
-    s = nested.sections(A.invoices(spark, sf_dir), "invoice")
-    return s.select("document_id", "section", nested.item_summary(F.col("fields")).alias("summary"))
+    s = nested.sections(A.invoices(spark, sf_dir), "invoice").filter("item_no IS NOT NULL")
+    return s.select("document_id", "section", "title", nested.item_summary(F.col("fields")).alias("summary"))
 
 
 @query(f"WITH {A.INVOICES} SELECT document_id, 'corrected' AS supplier, 0.7::DOUBLE AS confidence, CASE WHEN document_id IN (SELECT document_id FROM items) THEN '9' END AS first_quantity FROM heads")
@@ -290,7 +290,7 @@ def chunk_merge(spark, sf_dir):
 
 
 @query("""
-WITH n AS (SELECT conv_id AS document_id, count(*)::BIGINT AS pages, sum(length(trim(coalesce(text, ''))))::BIGINT AS chars FROM conversations GROUP BY conv_id)
+WITH n AS (SELECT conv_id AS document_id, count(*)::BIGINT AS pages, sum(length(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')))::BIGINT AS chars FROM conversations GROUP BY conv_id)
 SELECT *, chars >= floor(pages * 200 / 2) AS digital FROM n""")
 def digital_text_flag(spark, sf_dir):
     return chunks.is_digital(A.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), "text"))

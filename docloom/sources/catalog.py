@@ -84,3 +84,12 @@ def parse_items(bodies: DataFrame, items_path: str | None = None, mapping: dict[
     items = bodies.select(F.explode(F.from_json(checked, "array<string>")).alias("item")).filter(F.trim("item").startswith("{"))
     raw = F.from_json("item", "map<string,string>")
     return map_records(items.select(F.map_from_entries(F.map_entries(raw)).alias("raw")), mapping)
+
+
+def source_settings(settings: Column) -> Column:
+    """A shop's saved source (JSON text with url, items_path, mapping, auth_header) as it may be shown: whether there is a secret, not which."""
+    secret = F.get_json_object(settings, "$.auth_header")
+    return F.struct(
+        F.get_json_object(settings, "$.url").alias("url"), F.get_json_object(settings, "$.items_path").alias("items_path"),
+        F.from_json(F.get_json_object(settings, "$.mapping"), "map<string,string>").alias("mapping"), F.coalesce(secret != "", F.lit(False)).alias("has_secret"),
+    )

@@ -58,7 +58,7 @@ def test_to_float(spark, said, expected):
 def test_buckets_differ_only_at_their_edges(spark):
     df = spark.createDataFrame([(None,), (0.59,), (0.6,), (0.7,), (0.85,), (0.9,)], "c double")
     got = [tuple(r) for r in df.select(V.bucket_at_least(F.col("c")), V.bucket_above(F.col("c")), V.confidence_percent(F.col("c"))).collect()]
-    assert got == [("none", "low", None), ("low", "low", 59), ("medium", "low", 60), ("medium", "medium", 70), ("high", "medium", 85), ("high", "high", 90)]
+    assert got == [("none", "none", None), ("low", "low", 59), ("medium", "low", 60), ("medium", "medium", 70), ("high", "medium", 85), ("high", "high", 90)]
 
 
 def test_signing():

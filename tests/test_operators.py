@@ -65,8 +65,8 @@ def test_walk_flags_and_paths(spark):
     assert {r[0]: r[1] for r in nested.overall_confidence(w).collect()}["d2"] is None
     new = d.withColumn("data", nested.set_path(F.col("data"), "line_items[1].description", F.lit("Dolo")))
     assert [tuple(r) for r in new.select(nested.get_path(F.col("data"), "line_items[1].description.value"), nested.get_path(F.col("data"), "line_items[9].description.value")).collect()] == [("Dolo", None), (None, None)]
-    s = nested.sections(d, "invoice").select("section", nested.item_summary(F.col("fields"))).collect()
-    assert [tuple(r) for r in s] == [(1, "B1 · 12/2027 · 2"), (2, "12/2027 · 2 · 1")]
+    s = nested.sections(d.filter("document_id = 'd1'"), "invoice").select("section", "title", "item_no", nested.item_summary(F.col("fields"))).collect()
+    assert [tuple(r) for r in s] == [(1, "supplier", None, ""), (2, "invoiceDetails", None, "Date: 27/07/2026  ·  Total: 18"), (3, "lineItems #1", 0, "Batch: B1  ·  Expiry: 12/2027  ·  Qty: 2"), (4, "lineItems #2", 1, "Expiry: 12/2027  ·  Qty: 2  ·  MRP: 1")]
 
 
 def test_prescriptions(spark):
@@ -167,3 +167,11 @@ def test_catalog_write_replaces_its_shops_only(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == ["c1", "c4"]
     export.write_catalog(c.filter("id = 'c1'"), path, replace=False)
     assert spark.read.parquet(path).count() == 3
+    assert export.delete_catalog(spark, path, "s") and not export.delete_catalog(spark, path, "s")
+    assert [r["id"] for r in spark.read.parquet(path).collect()] == ["c4"]
+
+
+def test_options(spark):
+    got = export.options(spark).collect()
+    assert [r["value"] for r in got if r["option"] == "format"] == ["csv", "json", "tally_xml", "both"]
+    assert {r["value"] for r in got if r["option"] == "profile"} == set(nested.PROFILES)

@@ -25,6 +25,12 @@ def test_json_records(spark):
         catalog.parse_items(df, "data").collect()
 
 
+def test_source_settings(spark):
+    df = spark.createDataFrame([('{"url": "u", "items_path": "a.b", "mapping": {"name": "t"}, "auth_header": "k"}',), ("{}",), (None,)], "s string")
+    got = [r[0].asDict() for r in df.select(catalog.source_settings(F.col("s"))).collect()]
+    assert got[0] == {"url": "u", "items_path": "a.b", "mapping": {"name": "t"}, "has_secret": True} and got[1]["has_secret"] is got[2]["has_secret"] is False
+
+
 def test_rest_source(spark):
     class Fake(rest.RestSource):
         @classmethod
@@ -85,15 +91,17 @@ def test_queue_stream(spark, tmp_path):
 
 def test_webhook(spark):
     def post(url, body, headers):
-        assert headers["X-Signature"].startswith("sha256=")
-        if body == "down":
+        assert headers["X-Signature"].startswith("sha256=") and headers["X-Payload-Version"] == "1.0"
+        if "down" in body:
             raise OSError("no route")
-        return (200, "x" * 3000) if body == "fine" else (400, "no")
+        return (200, "x" * 3000) if "fine" in body else (400, "no")
 
-    df = spark.createDataFrame([("a", "fine"), ("b", "bad"), ("c", "down")], "document_id string, body string")
+    df = spark.createDataFrame([("a", '{"x": "fine"}'), ("b", '{"x": "bad"}'), ("c", '{"x": "down"}')], "document_id string, body string")
     got = {r["document_id"]: r for r in sinks.post_webhook(df, "u", "k", post, sleep=lambda s: None).collect()}
     assert (got["a"]["status"], got["a"]["attempts"], len(got["a"]["response_body"])) == ("success", 1, 2000)
-    assert (got["b"]["status"], got["b"]["attempts"], got["b"]["response_code"]) == ("failed", 3, 400) and got["c"]["response_code"] is None
+    assert (got["b"]["status"], got["b"]["attempts"], got["b"]["response_code"]) == ("failed", 3, 400)
+    assert got["c"]["response_code"] is None and got["c"]["response_body"] == "no route"
+    assert {r["status"] for r in sinks.post_webhook(df, "", "k", post).collect()} == {"failed"}
 
 
 def test_provider_failures_are_kept(spark):
