@@ -75,6 +75,8 @@ def segments(n: int, max_bits: int = MAX_BITS) -> list[tuple[int, int, int]]:
     """(shift, width, radius) by how many fingerprints there are; the radii + 1 add up to more than max_bits in each plan."""
     if max_bits <= 4:
         return [(0, 23, 1), (23, 23, 1), (46, 18, 0)] if n < 30_000_000 else [(0, 36, 2), (36, 28, 1)]
+    if max_bits <= 7:
+        return [(0, 16, 1), (16, 16, 1), (32, 16, 1), (48, 16, 1)] if n < 5_000_000 else [(0, 22, 2), (22, 22, 2), (44, 20, 1)]
     if max_bits <= 8:
         return [(0, 19, 2), (19, 15, 1), (34, 15, 1), (49, 15, 1)] if n < 5_000_000 else [(0, 22, 2), (22, 21, 2), (43, 21, 2)]
     raise ValueError("max_bits is 8 at most")

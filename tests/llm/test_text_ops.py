@@ -149,7 +149,7 @@ def test_simhash_against_all_pairs(spark, docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize(("n", "bits"), [(10, 4), (10**9, 4), (10, 8), (10**9, 8)])
+@pytest.mark.parametrize(("n", "bits"), [(10, 4), (10**9, 4), (10, 7), (10**9, 7), (10, 8), (10**9, 8)])
 def test_segments_miss_nothing(n, bits):
     plan = simhash.segments(n, bits)
     assert sum(w for _, w, _ in plan) == 64 and sum(r + 1 for *_, r in plan) > bits
