@@ -190,7 +190,7 @@ def merge_index(index: DataFrame) -> DataFrame:
 
 def folder(spark: SparkSession, what: str) -> str:
     """A new folder beside the checkpoints, which all executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-")
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="docloom-")
     return f"{top}/{what}-{uuid.uuid4().hex}"
 
 
