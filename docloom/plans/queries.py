@@ -62,11 +62,12 @@ def value_parse(spark, sf_dir):
 
 
 @query("""
-SELECT o_orderkey, o_orderdate::DATE AS day_first, o_orderdate::DATE AS iso, date_trunc('month', o_orderdate)::DATE AS month_year, NULL::DATE AS nothing FROM orders""")
+SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS day_first, o_orderdate::DATE::VARCHAR AS iso, date_trunc('month', o_orderdate)::DATE::VARCHAR AS month_year, NULL::VARCHAR AS nothing FROM orders""")
 def date_parse(spark, sf_dir):
     o = A.table(spark, sf_dir, "orders")
     text = lambda form: F.date_format("o_orderdate", form)
-    return o.select("o_orderkey", V.date(F.concat(F.lit("dt. "), text("dd/MM/yyyy"))).alias("day_first"), V.date(text("yyyy-MM-dd")).alias("iso"), V.date(text("MM/yyyy")).alias("month_year"), V.date(F.lit("soon")).alias("nothing"))
+    said = lambda x: V.date(x).cast("string")
+    return o.select("o_orderkey", said(F.concat(F.lit("dt. "), text("dd/MM/yyyy"))).alias("day_first"), said(text("yyyy-MM-dd")).alias("iso"), said(text("MM/yyyy")).alias("month_year"), said(F.lit("soon")).alias("nothing"))
 
 
 @query("""
@@ -175,11 +176,11 @@ def corrected_fields(spark, sf_dir):
     return d.select("document_id", leaf["value"].alias("supplier"), leaf["confidence"].alias("confidence"), nested.get_path(F.col("data"), "line_items[0].quantity")["value"].alias("first_quantity"))
 
 
-@query(f"""WITH {A.INVOICES} SELECT document_id, item_no, strptime(invoice_date, '%d/%m/%Y')::DATE AS invoice_date, strptime('01/' || expiry, '%d/%m/%Y')::DATE AS expiry, quantity::DOUBLE AS quantity FROM heads JOIN items USING (document_id)""")
+@query(f"""WITH {A.INVOICES} SELECT document_id, item_no, strptime(invoice_date, '%d/%m/%Y')::DATE::VARCHAR AS invoice_date, strptime('01/' || expiry, '%d/%m/%Y')::DATE::VARCHAR AS expiry, quantity::DOUBLE AS quantity FROM heads JOIN items USING (document_id)""")
 def postprocess(spark, sf_dir):
     d = A.invoices(spark, sf_dir).withColumn("data", nested.postprocess(F.col("data"), "invoice"))
-    r = d.select("document_id", F.col("data.invoice.invoice_date.norm_date").alias("invoice_date"), F.posexplode("data.line_items").alias("item_no", "item"))
-    return r.select("document_id", "item_no", "invoice_date", F.col("item.expiry.norm_date").alias("expiry"), F.col("item.quantity.norm_num").alias("quantity"))
+    r = d.select("document_id", F.col("data.invoice.invoice_date.norm_date").cast("string").alias("invoice_date"), F.posexplode("data.line_items").alias("item_no", "item"))
+    return r.select("document_id", "item_no", "invoice_date", F.col("item.expiry.norm_date").cast("string").alias("expiry"), F.col("item.quantity.norm_num").alias("quantity"))
 
 
 @query(f"WITH {A.DOCUMENTS} SELECT id AS document_id, '1.0' AS payload_version, 'document.approved' AS event, shop_id, doc_type FROM docs WHERE status = 'approved'")
