@@ -1,7 +1,7 @@
 """What finding repeated text needs: texts in chunks, rolling hashes, and a packed exchange by hash.
 
-Texts are dealt out once, by a hash of the text, to as many chunks as the session has shuffle partitions, so that
-copies meet in one chunk; a map task sends each distinct text once, so a text with very many copies costs a task no
+Texts are dealt out once, by a hash of the text, to as many chunks as the session has shuffle partitions, or more if a
+chunk would be larger than 64 MB of the input's files, so that copies meet in one chunk; a map task sends each distinct text once, so a text with very many copies costs a task no
 more than one a task. All later steps are grouped by chunk on that same exchange. A chunk's texts are sorted by
 their keys, hence positions in it are the same each time it is computed, after a lost executor too.
 
@@ -35,9 +35,19 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), k2.alias("k2"), text.alias("text"))
 
 
+#: Bytes of input files for a chunk; texts take about twice that in memory.
+PER_CHUNK = 64 << 20
+
+
+def chunk_count(docs: DataFrame) -> int:
+    """From the session's shuffle partitions and Catalyst's estimate of the input, where it has one (huge numbers stand for none)."""
+    estimate = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(shuffle_partitions(docs.sparkSession), -(-estimate // PER_CHUNK) if estimate < 1 << 55 else 1)
+
+
 def chunked(docs: DataFrame) -> tuple[DataFrame, int]:
     """(chunk, k1, k2, doc_id, text): each text once for each task that met it; more rows without text where a smaller id came later."""
-    n = shuffle_partitions(docs.sparkSession)
+    n = chunk_count(docs)
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[tuple, int] = {}
