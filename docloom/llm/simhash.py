@@ -110,7 +110,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, verify: Callable[[DataFrame]
     entries = fps.select("fp", "copies", F.explode(keys).alias("key"))
     mixed = F.xxhash64("fp")
     pivots = entries.groupBy("key").agg(F.count("*").alias("n"), F.array(F.max_by("fp", "copies"), F.min("fp"), F.max("fp"), F.min_by("fp", mixed), F.max_by("fp", mixed)).alias("pivots")).filter("n > 1").drop("n")
-    stars = entries.join(pivots, "key").select(F.col("fp").alias("a"), F.explode(F.array_distinct("pivots")).alias("b")).filter((F.col("a") != F.col("b")) & _near(F.col("a"), F.col("b"), max_bits))
+    close = F.filter(F.array_distinct("pivots"), lambda p: (p != F.col("fp")) & _near(F.col("fp"), p, max_bits))
+    stars = entries.join(pivots, "key").select(F.col("fp").alias("a"), F.explode(close).alias("b"))
     stars = verify(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     rough = cut(components(stars.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     known = cut(fps.join(rough, fps["fp"] == rough["node"], "left").select("fp", F.coalesce("low", "fp").alias("c")))
