@@ -213,27 +213,57 @@ plan AS (SELECT o_orderkey AS document_id, c.connector_id, o_orderkey || ':' ||
   FROM orders CROSS JOIN (VALUES ('click'), ('view')) c(connector_id) LEFT JOIN last ON last.idempotency_key = o_orderkey || ':' || c.connector_id WHERE o_orderkey < 400)"""
 
 
-def _plan(spark, sf_dir):
-    docs = A.table(spark, sf_dir, "orders").filter("o_orderkey < 400").select(F.col("o_orderkey").alias("document_id"), F.lit(1).alias("shop_id"))
+#: The same over all orders.
+_PLAN_ALL = _PLAN.replace(" WHERE o_orderkey < 400)", ")")
+
+
+def _plan(spark, sf_dir, which: str = "true"):
+    docs = A.table(spark, sf_dir, "orders").filter(which).select(F.col("o_orderkey").alias("document_id"), F.lit(1).alias("shop_id"))
     connectors = spark.createDataFrame([(1, "click", True), (1, "view", True), (1, "error", False)], "shop_id int, connector_id string, enabled boolean")
     return lifecycle.push_plan(docs, connectors, A.deliveries(spark, sf_dir))
 
 
-@query(_PLAN + " SELECT document_id, connector_id, idempotency_key, coalesce(delivery_id, -1)::BIGINT AS delivery_id, action FROM plan")
+_PLANNED = " SELECT document_id, connector_id, idempotency_key, coalesce(delivery_id, -1)::BIGINT AS delivery_id, action FROM plan"
+
+
+def _planned(plan):
+    return plan.select("document_id", "connector_id", "idempotency_key", F.coalesce("delivery_id", F.lit(-1)).cast("long").alias("delivery_id"), "action")
+
+
+@query(_PLAN + _PLANNED)
 def push_plan(spark, sf_dir):
-    return _plan(spark, sf_dir).select("document_id", "connector_id", "idempotency_key", F.coalesce("delivery_id", F.lit(-1)).cast("long").alias("delivery_id"), "action")
+    """The first orders only, as its SQL says; push_plan_all has all."""
+    return _planned(_plan(spark, sf_dir, "o_orderkey < 400"))
+
+
+@query(_PLAN_ALL + _PLANNED)
+def push_plan_all(spark, sf_dir):
+    return _planned(_plan(spark, sf_dir))
 
 
-@query(_PLAN + """ SELECT idempotency_key, status, attempts::INT AS attempts FROM (
+_UPSERTED = """ SELECT idempotency_key, status, attempts::INT AS attempts FROM (
   SELECT d.idempotency_key, CASE WHEN p.action = 'retry' THEN 'success' ELSE d.status END AS status, d.attempts + CASE WHEN p.action = 'retry' THEN 2 ELSE 0 END AS attempts FROM deliveries d LEFT JOIN plan p ON p.delivery_id = d.id
-  UNION ALL SELECT idempotency_key, 'success', 2 FROM plan WHERE action = 'insert')""")
-def push_upsert(spark, sf_dir):
+  UNION ALL SELECT idempotency_key, 'success', 2 FROM plan WHERE action = 'insert')"""
+
+
+def _upserted(spark, sf_dir, plan):
     d = A.deliveries(spark, sf_dir).withColumns({"id": F.col("id").cast("string"), "document_id": F.col("document_id"), "response_code": F.lit(None).cast("int"), "response_body": F.lit(None).cast("string")})
-    plan = _plan(spark, sf_dir).withColumn("delivery_id", F.col("delivery_id").cast("string"))
+    plan = plan.withColumn("delivery_id", F.col("delivery_id").cast("string"))
     results = plan.select("idempotency_key", F.lit("success").alias("status"), F.lit(200).alias("response_code"), F.lit("ok").alias("response_body"), F.lit(2).alias("attempts"))
     return lifecycle.apply_push(plan, results, d).select("idempotency_key", "status", "attempts")
 
 
+@query(_PLAN + _UPSERTED)
+def push_upsert(spark, sf_dir):
+    """The first orders only, as its SQL says; push_upsert_all has all."""
+    return _upserted(spark, sf_dir, _plan(spark, sf_dir, "o_orderkey < 400"))
+
+
+@query(_PLAN_ALL + _UPSERTED)
+def push_upsert_all(spark, sf_dir):
+    return _upserted(spark, sf_dir, _plan(spark, sf_dir))
+
+
 @query(f"WITH {A.DELIVERIES} SELECT document_id, bool_and(status IN ('success', 'pending')) AS all_ok FROM deliveries WHERE connector_id <> 'error' GROUP BY document_id")
 def all_ok_per_document(spark, sf_dir):
     return lifecycle.all_ok(A.deliveries(spark, sf_dir).filter("connector_id <> 'error'"))
