@@ -382,16 +382,25 @@ def upload_validation(spark, sf_dir):
 _JACCARD = """CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE 100.0::DOUBLE * len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) END"""
 
 
-def _queries(spark, sf_dir):
+def _queries(spark, sf_dir, which: str = "true"):
     c = A.catalog(spark, sf_dir)
-    return c.filter("id % 10 = 0").select(F.col("id").alias("query_id"), "shop_id", F.concat_ws(" ", "name", F.lit("strip")).alias("name"))
+    return c.filter(which).select(F.col("id").alias("query_id"), "shop_id", F.concat_ws(" ", "name", F.lit("strip")).alias("name"))
 
 
-@query(f"""WITH {A.CATALOG}, q AS (SELECT id AS query_id, shop_id, list_distinct(string_split(normalized_name, ' ')) AS x FROM catalog WHERE id % 10 = 0),
+_TOPK = f"""WITH {A.CATALOG}, q AS (SELECT id AS query_id, shop_id, list_distinct(string_split(normalized_name, ' ')) AS x FROM catalog WHERE id % 10 = 0),
 s AS (SELECT query_id, c.id, {_JACCARD} AS score FROM q JOIN (SELECT id, shop_id, list_distinct(string_split(normalized_name, ' ')) AS y FROM catalog) c USING (shop_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM s WHERE score >= 40)
-SELECT query_id, rank, id, round_even(score, 1) AS score FROM r WHERE rank <= 3""")
+SELECT query_id, rank, id, round_even(score, 1) AS score FROM r WHERE rank <= 3"""
+
+
+@query(_TOPK)
 def jaccard_topk(spark, sf_dir):
+    """One in ten of the names, as its SQL says; jaccard_topk_all has all."""
+    return matching.match_names(_queries(spark, sf_dir, "id % 10 = 0"), A.catalog(spark, sf_dir), scorer="jaccard").select("query_id", "rank", "id", "score")
+
+
+@query(_TOPK.replace(" WHERE id % 10 = 0", ""))
+def jaccard_topk_all(spark, sf_dir):
     return matching.match_names(_queries(spark, sf_dir), A.catalog(spark, sf_dir), scorer="jaccard").select("query_id", "rank", "id", "score")
 
 
@@ -400,14 +409,27 @@ def token_set_topk(spark, sf_dir):
     return matching.match_names(_queries(spark, sf_dir), A.catalog(spark, sf_dir)).select("query_id", "rank", "id", "score")
 
 
-@query(f"""WITH {A.CATALOG}, m AS (SELECT *, CASE WHEN coalesce(composition, '') <> '' THEN {A.sql_normalize('composition')} ELSE {A.sql_molecule('name')} END AS mol FROM catalog),
+_ALTERNATIVES = f"""WITH {A.CATALOG}, m AS (SELECT *, CASE WHEN coalesce(composition, '') <> '' THEN {A.sql_normalize('composition')} ELSE {A.sql_molecule('name')} END AS mol FROM catalog),
 q AS (SELECT id AS query_id, shop_id, mol, list_distinct(string_split(mol, ' ')) AS x FROM m WHERE id % 10 = 0 AND mol <> ''),
 s AS (SELECT query_id, c.id, c.stock, {_JACCARD} AS raw FROM q JOIN (SELECT id, shop_id, coalesce(stock_qty, 0) AS stock, list_distinct(string_split(mol, ' ')) AS y FROM m) c ON q.shop_id = c.shop_id AND list_contains(c.y, string_split(q.mol, ' ')[1])),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round_even(raw, 1) DESC, stock DESC, id)::INT AS rank FROM s WHERE raw >= 75)
-SELECT query_id, rank, id, round_even(raw, 1) AS score FROM r WHERE rank <= 5""")
-def alternatives(spark, sf_dir):
+SELECT query_id, rank, id, round_even(raw, 1) AS score FROM r WHERE rank <= 5"""
+
+
+def _alternatives(spark, sf_dir, which: str = "true"):
     c = A.catalog(spark, sf_dir)
-    return matching.alternatives(c.filter("id % 10 = 0").select(F.col("id").alias("query_id"), "shop_id", "name", "composition"), c, scorer="jaccard")
+    return matching.alternatives(c.filter(which).select(F.col("id").alias("query_id"), "shop_id", "name", "composition"), c, scorer="jaccard")
+
+
+@query(_ALTERNATIVES)
+def alternatives(spark, sf_dir):
+    """For one in ten of the items, as its SQL says; alternatives_all has all."""
+    return _alternatives(spark, sf_dir, "id % 10 = 0")
+
+
+@query(_ALTERNATIVES.replace("WHERE id % 10 = 0 AND", "WHERE"))
+def alternatives_all(spark, sf_dir):
+    return _alternatives(spark, sf_dir)
 
 
 @query()
@@ -415,16 +437,25 @@ def alternatives_for_names(spark, sf_dir):
     return matching.alternatives_for(_queries(spark, sf_dir), A.catalog(spark, sf_dir))
 
 
-def _items(spark, sf_dir):
+def _items(spark, sf_dir, which: str = "true"):
     flat = nested.flatten_rows(A.invoices(spark, sf_dir), "invoice")
     part = A.table(spark, sf_dir, "part").select(F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("description"), F.concat_ws(" ", "p_name", F.concat(F.col("p_size").cast("string"), F.lit("mg"))).alias("name"))
-    return flat.filter("document_id % 50 = 0").join(part, "description").select("document_id", "item_no", (F.col("document_id") % 7).alias("shop_id"), "name")
+    return flat.filter(which).join(part, "description").select("document_id", "item_no", (F.col("document_id") % 7).alias("shop_id"), "name")
 
 
-@query(f"""WITH {A.INVOICES}, {A.CATALOG}, q AS (SELECT document_id, item_no, document_id % 7 AS shop_id, list_distinct(string_split({A.sql_normalize("p_name || ' ' || p_size || 'mg'")}, ' ')) AS x FROM items JOIN part ON description = 'part ' || p_partkey WHERE document_id % 50 = 0),
+_MATCHED = f"""WITH {A.INVOICES}, {A.CATALOG}, q AS (SELECT document_id, item_no, document_id % 7 AS shop_id, list_distinct(string_split({A.sql_normalize("p_name || ' ' || p_size || 'mg'")}, ' ')) AS x FROM items JOIN part ON description = 'part ' || p_partkey WHERE document_id % 50 = 0),
 s AS (SELECT document_id, item_no, max({_JACCARD}) AS best FROM q JOIN (SELECT shop_id, list_distinct(string_split(normalized_name, ' ')) AS y FROM catalog) c USING (shop_id) GROUP BY 1, 2)
-SELECT document_id, count(*) FILTER (round_even(best, 1) >= 70)::BIGINT AS matched, count(*)::BIGINT AS total FROM s GROUP BY 1""")
+SELECT document_id, count(*) FILTER (round_even(best, 1) >= 70)::BIGINT AS matched, count(*)::BIGINT AS total FROM s GROUP BY 1"""
+
+
+@query(_MATCHED)
 def match_documents(spark, sf_dir):
+    """One in fifty of the documents, as its SQL says; match_documents_all has all."""
+    return matching.match_items(_items(spark, sf_dir, "document_id % 50 = 0"), A.catalog(spark, sf_dir), "jaccard")[1]
+
+
+@query(_MATCHED.replace(" WHERE document_id % 50 = 0", ""))
+def match_documents_all(spark, sf_dir):
     return matching.match_items(_items(spark, sf_dir), A.catalog(spark, sf_dir), "jaccard")[1]
 
 
