@@ -15,7 +15,8 @@ that leaves are multiplied as Python integers, and scores outside 64 bits are cl
 
 Edge cases: null vectors and those with null or non-finite components take no part; shorter vectors count as padded
 with zeros; a null id takes no part; rows that share an id with the query are its own; ties go to the smaller id; an
-empty table gives an empty one.
+empty table gives an empty one. Every row is a candidate: one that is repeated takes a rank each time, and a query's
+rows, if it has several, are compared with each candidate each, as a join would.
 """
 
 from __future__ import annotations
@@ -198,7 +199,7 @@ def _search(pairs: DataFrame, queries: DataFrame, data: DataFrame, k: int) -> Da
 
 def _best(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.distinct().withColumn("rank", rank).filter(F.col("rank") <= k)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def top_k(rows: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
