@@ -18,6 +18,7 @@ rows of a group share makes each of them a response; an empty table gives no rec
 from __future__ import annotations
 
 import gzip
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -113,6 +114,8 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
                     size = int(dict(x.split(": ", 1) for x in http.decode("utf-8").split("\r\n")[1:])["Content-Length"])
                     if h["WARC-Type"] == "response" and size != len(body):
                         raise ValueError(f"{name}: payload cut off at {offset}")
+                    if h["WARC-Type"] == "response" and h["WARC-Payload-Digest"] != "sha256:" + hashlib.sha256(body).hexdigest():
+                        raise ValueError(f"{name}: payload damaged at {offset}")
                     refers = number(h["WARC-Refers-To"]) if "WARC-Refers-To" in h else None
                     run.append((name, url_key(h["WARC-Target-URI"]) if "WARC-Target-URI" in h else "", h["WARC-Date"], number(h["WARC-Record-ID"]), offset, length, size, h["WARC-Payload-Digest"].removeprefix("sha256:"), h["WARC-Type"], refers))
                 run.sort(key=order)
