@@ -13,6 +13,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows a table may have at most to be broadcast (each row being a few numbers and one short key).
 BROADCAST_ROWS = 10_000
 
+#: Rows of one or two longs that a table may have at most to be broadcast: some 25 MB as a hash table.
+BROADCAST_KEYS = 1_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,3 +38,8 @@ def n_words(text: Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def if_few(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """A table of one or two longs, already computed: broadcast if it has few rows, else left to Catalyst."""
+    return F.broadcast(keys) if keys.count() <= most else keys

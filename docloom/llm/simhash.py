@@ -51,8 +51,8 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.array([digest(joined[a:b], SEED) for a, b in zip(first.tolist(), ends.tolist(), strict=True)], "<u8")
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    hashes = shingle_hashes(text, shingle)
+def bits_of(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes, repeats included."""
     count = np.zeros(BITS, "int64")
     for k in range(0, len(hashes), 1 << 15):
         part = hashes[k : k + (1 << 15)].view("uint8").reshape(-1, 8)
@@ -60,6 +60,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * count > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return bits_of(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, text) -> doc_id, fp (64 bits as a long)."""
 
@@ -123,39 +127,11 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, verify: Callable[[DataFrame]
     return components(rough.select(F.col("node").alias("u"), F.col("low").alias("v")).union(across))
 
 
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(text) -> fp, shingles: the hashes of the text's shingles, each once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            sets = pa.array([np.unique(shingle_hashes(t, shingle)).view("int64") for t in texts], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(t, shingle) for t in texts], pa.int64()), sets], ["fp", "shingles"])
-
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "fp long, shingles array<long>")
-
-
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, min_similarity: float | None = None) -> DataFrame:
-    """(doc_id, text) -> doc_id, fingerprint, component_id.
-
-    With ``min_similarity``, fingerprints link only if the shingle sets of their first documents also have that Jaccard
-    similarity; equal fingerprints always do.
-    """
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, text) -> doc_id, fingerprint, component_id."""
     found = cut(fingerprints(docs, shingle))
     fps = cut(found.groupBy("fp").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        if min_similarity is None:
-            return pairs
-        pairs = cut(pairs)
-        nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-        who = nodes.join(fps, "fp").select(F.col("first_id").alias("doc_id")).distinct()
-        sets = cut(shingle_sets(docs.select("doc_id", "text").join(who, "doc_id", "left_semi"), shingle).join(nodes, "fp", "left_semi").dropDuplicates(["fp"]))
-        left, right = (sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-        both = pairs.join(left, "a").join(right, "b")
-        return both.filter(F.size(F.array_intersect("sa", "sb")) >= F.lit(min_similarity) * F.size(F.array_union("sa", "sb"))).drop("sa", "sb")
-
-    linked = links(fps.select("fp", "copies"), max_bits, verify)
+    linked = links(fps.select("fp", "copies"), max_bits)
     low = fps.join(linked, fps["fp"] == linked["node"], "left").select("fp", "first_id", F.coalesce("low", "fp").alias("low"))
     named = low.join(low.groupBy("low").agg(F.min("first_id").alias("component_id")), "low").select("fp", "component_id")
     return found.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
