@@ -5,10 +5,12 @@ others fill a sequence. Only how many pieces there are of each length matters fo
 driver from a histogram of at most ``size`` rows, whatever the corpus is:
 
 1. pieces that fill a sequence stand alone;
-2. from the longest length down, the gap it leaves is looked up in an index of single, pair and triple sums of the
-   lengths still in stock, and as many such exact combinations are consumed as the counts allow;
+2. an index by sum holds the single lengths and pairs of lengths in stock, and triples as a length and an indexed pair;
+   the gap that a length leaves is looked up there, and as many such exact combinations are consumed as the counts
+   allow: singles for all lengths first, then pairs, then triples;
 3. the rest is packed best-fit decreasing, by counts of equal gaps;
-4. this is done with exact fillings from several lengths down, and the plan with the fewest sequences is taken.
+4. short pieces spent on exact combinations can be missed by the rest, so this is done for a few orders (how many
+   lengths a combination may have, from the longest length or the shortest), and the plan of the fewest sequences is taken.
 
 The plan is a list of slots (length, rank from, per sequence, sequences, first sequence, offset) whose number depends
 on ``size`` only. Each piece gets a rank among those of its length by (bucket, doc_id, piece, checksum) from counts
@@ -25,11 +27,12 @@ import functools
 import os
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -95,100 +98,103 @@ def cut_points(n: int, size: int = SIZE) -> list[tuple[int, int]]:
 def tokenize(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """A row a piece: doc_id, piece, start, length, ids_crc32 (and ids, if asked)."""
     end = np.array([end_id], "<u4").tobytes()
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
 
-    def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for frame in frames:
+        for b in batches:
             out = []
-            for doc, text in zip(frame["doc_id"].astype("Int64"), frame["text"], strict=True):
-                ids = encode(text or "") + end
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                ids = encode(text.as_py() or "") + end
                 for k, (start, length) in enumerate(cut_points(len(ids) // 4, size)):
                     part = ids[4 * start : 4 * (start + length)]
                     row = (doc, k, start, length, zlib.crc32(part))
                     out.append((*row, np.frombuffer(part, "<u4").astype("int32")) if with_ids else row)
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
 
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInPandas(pieces, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pieces, schema)
 
 
 # ------------------------------------------------------------------ plan
 
 
-class _Stock:
-    """How many pieces are left of each length, and which lengths those are."""
+class Sums:
+    """Lengths in stock by their sums: one, two or three that fill a gap exactly. Counts only fall, so used-up entries just go."""
 
-    def __init__(self, counts: dict[int, int]) -> None:
-        self.n = defaultdict(int, {k: v for k, v in counts.items() if v > 0})
+    def __init__(self, counts: dict[int, int], size: int) -> None:
+        self.n = {k: v for k, v in counts.items() if v > 0}
         self.lengths = sorted(self.n)
+        self.pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for k, a in enumerate(self.lengths):  # the pairs of a sum come from its largest to its smallest difference, read from the end
+            for b in self.lengths[: k + 1]:
+                if a + b >= size:
+                    break
+                self.pairs[a + b].append((a, b))
+        for found in self.pairs.values():
+            found.reverse()
+
+    def has(self, lengths: tuple[int, ...], beside: int) -> bool:
+        need = Counter((*lengths, beside))
+        return all(self.n.get(x, 0) >= k for x, k in need.items())
+
+    def pair(self, gap: int, beside: tuple[int, ...], most: int) -> tuple[int, int] | None:
+        found = self.pairs.get(gap)
+        while found and not (self.n.get(found[-1][0]) and self.n.get(found[-1][1])):
+            found.pop()
+        for a, b in reversed(found or ()):
+            if a <= most and self.has((a, b, *beside[1:]), beside[0]):
+                return a, b
+        return None
 
-    def take(self, length: int, many: int) -> None:
-        self.n[length] -= many
-        if not self.n[length]:
-            self.lengths.pop(bisect.bisect_left(self.lengths, length))
-
-    def complement(self, gap: int, used: dict[int, int], most: int) -> list[int] | None:
-        """One, two or three lengths (``most`` at most) in stock that fill the gap exactly, beside what is used; longest first."""
-        left = lambda x, more: self.n.get(x, 0) - used.get(x, 0) - more
-        if most > 0 and left(gap, 0) > 0:
-            return [gap]
-        if most < 2:
-            return None
-        below = self.lengths[: bisect.bisect_left(self.lengths, gap)]
-        for a in reversed(below):
-            if 2 * a < gap:
-                break
-            b = gap - a
-            if left(a, 0) > 0 and left(b, a == b) > 0:
-                return [a, b]
-        for a in reversed(below) if most > 2 else ():
+    def find(self, gap: int, beside: int, many: int) -> tuple[int, ...] | None:
+        """``many`` lengths of this sum, in stock beside one of ``beside``."""
+        if many == 1:
+            return (gap,) if self.has((gap,), beside) else None
+        if many == 2:
+            return self.pair(gap, (beside,), gap)
+        for a in reversed(self.lengths):
             if 3 * a < gap:
                 break
-            if left(a, 0) <= 0:
-                continue
-            rest = gap - a
-            for b in reversed(below[: bisect.bisect_right(below, min(a, rest - 1))]):
-                if 2 * b < rest:
-                    break
-                c = rest - b
-                if left(b, b == a) > 0 and left(c, (c == a) + (c == b)) > 0:
-                    return [a, b, c]
+            if a < gap and self.n.get(a) and (found := self.pair(gap - a, (beside, a), a)):
+                return (a, *found)
         return None
 
+    def consume(self, lengths: tuple[int, ...]) -> int:
+        """Takes as many of these together as there are."""
+        need = Counter(lengths)
+        many = min(self.n[x] // k for x, k in need.items())
+        for x, k in need.items():
+            self.n[x] -= k * many
+            if not self.n[x]:
+                del self.n[x]
+        return many
 
-def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[dict[int, int], int]]:
-    """Patterns ({length: pieces in a sequence}, number of sequences) that use up all counts.
 
-    Short pieces spent too early on exact combinations are missed by later gaps, so it matters from which length down
-    gaps are filled with them. A plan costs little whatever the corpus: several such lengths are tried, and the plan
-    with the fewest sequences wins, of equal ones that which starts earliest.
-    """
-    return min((_plan(counts, size, size // n) for n in (1, 2, 3, 4, 6, 8, 12, 16)), key=lambda p: sum(n for _, n in p))
+#: Most lengths of a combination; whether the shortest lengths' gaps are filled first.
+ORDERS = ((3, False), (3, True), (2, True), (1, False))
 
 
-def _plan(counts: dict[int, int], size: int, short: int) -> list[tuple[dict[int, int], int]]:
-    """Longer pieces best-fit, then their gaps exactly by one to three of the short ones, then the rest best-fit."""
-    stock, patterns = _Stock(counts), []
+def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[dict[int, int], int]]:
+    """Patterns ({length: pieces in a sequence}, number of sequences) that use up all counts; of equal plans the first."""
+    return min((_plan(counts, size, *order) for order in ORDERS), key=lambda p: sum(n for _, n in p))
 
-    def consume(content: dict[int, int], added: list[int], most: int | None = None) -> int:
-        need = defaultdict(int)
-        for x in added:
-            need[x] += 1
-        many = min(stock.n[x] // k for x, k in need.items())
-        many = many if most is None else min(many, most)
-        for x, k in need.items():
-            stock.take(x, k * many)
-        patterns.append(({x: content.get(x, 0) + need.get(x, 0) for x in {*content, *need}}, many))
-        return many
 
+def _plan(counts: dict[int, int], size: int, most: int, up: bool) -> list[tuple[dict[int, int], int]]:
+    stock, patterns = Sums(counts, size), []
     if stock.n.get(size):
-        consume({}, [size])
-    for length in sorted(stock.lengths, reverse=True):
-        most = 3 if short >= size else 1
-        while stock.n.get(length, 0) > 0 and (found := stock.complement(size - length, {length: 1}, most)):
-            consume({}, [length, *found])
-    # Best fit decreasing over what is left: open sequences with equal contents are one entry of ``gaps``.
+        patterns.append(({size: 1}, stock.consume((size,))))
+    for many in range(1, most + 1):
+        for length in stock.lengths if up else reversed(stock.lengths):
+            while stock.n.get(length) and (found := stock.find(size - length, length, many)):
+                patterns.append((dict(Counter((length, *found))), stock.consume((length, *found))))
+    return patterns + best_fit(stock.n, size)
+
+
+def best_fit(counts: dict[int, int], size: int) -> list[tuple[dict[int, int], int]]:
+    """Best fit decreasing: open sequences with equal contents are one entry of their gap."""
+    patterns: list[tuple[dict[int, int], int]] = []
     opened: dict[int, list[tuple[dict[int, int], int]]] = defaultdict(list)
     gaps: list[int] = []
 
@@ -200,43 +206,29 @@ def _plan(counts: dict[int, int], size: int, short: int) -> list[tuple[dict[int,
             bisect.insort(gaps, gap)
         opened[gap].append((content, many))
 
-    def best_fit(lengths: list[int]) -> None:
-        for length in lengths:
-            left = stock.n[length]
-            stock.take(length, left)
-            while left:
-                k = bisect.bisect_left(gaps, length)
-                if k < len(gaps):
-                    gap = gaps[k]
-                    content, many = opened[gap].pop()
-                    if not opened[gap]:
-                        gaps.pop(k)
-                    n = min(left, many)
-                    if many > n:
-                        put(content, many - n, gap)
-                    put({**content, length: content.get(length, 0) + 1}, n, gap - length)
-                    left -= n
-                    continue
-                fit = size // length
-                if left >= fit:
-                    put({length: fit}, left // fit, size - fit * length)
-                    left %= fit
-                else:
-                    put({length: left}, 1, size - left * length)
-                    left = 0
-
-    best_fit([x for x in reversed(stock.lengths) if x > short])
-    for gap in sorted(gaps, reverse=True):
-        while opened[gap] and (found := stock.complement(gap, {}, 3)):
-            content, many = opened[gap].pop()
-            done = consume(content, found, many)
-            if many > done:
-                opened[gap].append((content, many - done))
-        if not opened[gap]:
-            gaps.remove(gap)
-    best_fit(list(reversed(stock.lengths)))
-    patterns += [x for gap in gaps for x in opened[gap]]
-    return patterns
+    for length in sorted(counts, reverse=True):
+        left = counts[length]
+        while left:
+            k = bisect.bisect_left(gaps, length)
+            if k < len(gaps):
+                gap = gaps[k]
+                content, many = opened[gap].pop()
+                if not opened[gap]:
+                    gaps.pop(k)
+                n = min(left, many)
+                if many > n:
+                    put(content, many - n, gap)
+                put({**content, length: content.get(length, 0) + 1}, n, gap - length)
+                left -= n
+                continue
+            fit = size // length
+            if left >= fit:
+                put({length: fit}, left // fit, size - fit * length)
+                left %= fit
+            else:
+                put({length: left}, 1, size - left * length)
+                left = 0
+    return patterns + [x for gap in gaps for x in opened[gap]]
 
 
 def slots(patterns: list[tuple[dict[int, int], int]]) -> np.ndarray:
@@ -293,6 +285,7 @@ def tokenizer_path() -> str:
 
 
 def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, text) -> a row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset; other columns are not looked at."""
     placed = place(tokenize(docs, path or tokenizer_path()))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
