@@ -19,18 +19,22 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, shuffle_partitions, table
 
 MIN_SHARED = 100
-PER_FILE = 5_000
+PER_FILE, FILE_BYTES = 5_000, 64 << 20
+#: Tasks that the pages of one payload are dealt to; index entries that a merging task holds about.
+SALTS, PER_RANGE = 32, 100_000
 EPOCH = 946_684_800  # a page's date is this plus its id, in seconds, if no date column is given
 URN = "urn:docloom:page:"
 
@@ -40,12 +44,18 @@ def records(pages: DataFrame, min_shared: int = MIN_SHARED) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit(""))
     p = pages.select("page_id", "url", payload.alias("payload")).withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     shared = p.filter(F.col("payload_bytes") >= min_shared).groupBy("payload_digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first_id")).filter("n > 1 AND first_id IS NOT NULL").drop("n")
-    p = p.join(shared, "payload_digest", "left")
+    # A payload that a third of all pages have is dealt to as many tasks as there are salts.
+    p = p.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+    p = p.join(shared.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["payload_digest", "salt"], "left")
     again = F.coalesce(~F.col("first_id").eqNullSafe(F.col("page_id")) & F.col("first_id").isNotNull(), F.lit(False))
     return p.select("page_id", "url", "payload", "payload_digest", "payload_bytes", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to"))
 
 
-def write_warc(pages: DataFrame, path: str, per_file: int = PER_FILE) -> None:
+def write_warc(pages: DataFrame, path: str, per_file: int | None = None) -> None:
+    """Archives of ``per_file`` records, by default as many as have about 64 MB of payload, 5,000 at most."""
+    if per_file is None:
+        mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
+        per_file = int(max(1, min(PER_FILE, FILE_BYTES / (mean + 500))))
     r = records(pages)
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     again = F.col("record_type") == "revisit"
@@ -69,20 +79,25 @@ def write_warc(pages: DataFrame, path: str, per_file: int = PER_FILE) -> None:
     r.withColumn("block", block).select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, length, headers, block) of every record."""
+def parse_warc(archive: BinaryIO) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """(offset, length, headers, block) of every record, one after the other: no more than one is held."""
     at = 0
-    while at < len(data):
-        head = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:head].decode("utf-8").split("\r\n")
-        if not version.startswith("WARC/"):
+    while version := archive.readline():
+        if not version.startswith(b"WARC/"):
             raise ValueError(f"no record at {at}")
-        headers = dict(x.split(": ", 1) for x in lines)
-        end = head + 4 + int(headers["Content-Length"])
-        yield at, end - at, headers, data[head + 4 : end]
-        if data[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"no record end at {end}")
-        at = end + 4
+        head, headers = len(version), {}
+        while (line := archive.readline()) != b"\r\n":
+            if not line:
+                raise ValueError(f"no end of the header at {at}")
+            head += len(line)
+            name, value = line.decode("utf-8").removesuffix("\r\n").split(": ", 1)
+            headers[name] = value
+        size = int(headers["Content-Length"])
+        block = archive.read(size)
+        if len(block) < size or archive.read(4) != b"\r\n\r\n":
+            raise ValueError(f"no record end after {at}")
+        yield at, head + 2 + size, headers, block
+        at += head + 2 + size + 4
 
 
 def url_key(url: str) -> str:
@@ -105,11 +120,11 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     """An index entry for each record of the archives under the path; each archive's are sorted."""
     number = lambda s: None if (x := s.strip("<>").removeprefix(URN)) == "null" else int(x)
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, content in zip(frame["path"], frame["content"], strict=True):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 run = []
-                for offset, length, h, block in parse_warc(gzip.decompress(content)):
+                for offset, length, h, block in parse_warc(gzip.open(io.BytesIO(content.as_py()))):
                     http, _, body = block.partition(b"\r\n\r\n")
                     size = int(dict(x.split(": ", 1) for x in http.decode("utf-8").split("\r\n")[1:])["Content-Length"])
                     if h["WARC-Type"] == "response" and size != len(body):
@@ -119,17 +134,18 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
                     refers = number(h["WARC-Refers-To"]) if "WARC-Refers-To" in h else None
                     run.append((name, url_key(h["WARC-Target-URI"]) if "WARC-Target-URI" in h else "", h["WARC-Date"], number(h["WARC-Record-ID"]), offset, length, size, h["WARC-Payload-Digest"].removeprefix("sha256:"), h["WARC-Type"], refers))
                 run.sort(key=order)
-                yield frame_of(run)
+                yield batch_of(run)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content").mapInPandas(read, ENTRY)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content").mapInArrow(read, ENTRY)
 
 
 def order(entry: tuple) -> tuple:
     return entry[1], entry[2], entry[3] is not None, entry[3] or 0, entry[0], entry[4]
 
 
-def frame_of(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=NAMES).astype({"page_id": "Int64", "refers_to": "Int64"})
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[x.split(" ")[1]]) for k, x in enumerate(ENTRY.split(", "))], NAMES)
 
 
 class LoserTree:
@@ -170,25 +186,26 @@ class LoserTree:
 
 
 def merge_index(index: DataFrame) -> DataFrame:
-    """The entries in global order: partition by partition, and within each."""
+    """The entries in global order: partition by partition, and within each. A partition has about ``PER_RANGE`` entries."""
 
-    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs: dict[str, list[tuple]] = {}
-        for frame in frames:
-            for row in frame.astype(object).where(frame.notna(), None).itertuples(index=False, name=None):
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 runs.setdefault(row[0], []).append(row)
         out = []
         for row in LoserTree([iter(r) for r in runs.values()], order):
             out.append(row)
             if len(out) == 10_000:
-                yield frame_of(out)
+                yield batch_of(out)
                 out = []
         if out:
-            yield frame_of(out)
+            yield batch_of(out)
 
     by = ["url_key", "date", "page_id", "run", "offset"]
     index = cut(index)  # ranges are found by a first look at the entries
-    return index.repartitionByRange(*by).sortWithinPartitions("run", *by[:3], "offset").mapInPandas(merge, ENTRY)
+    ranges = max(shuffle_partitions(index.sparkSession), -(-index.count() // PER_RANGE))
+    return index.repartitionByRange(ranges, *by).sortWithinPartitions("run", *by[:3], "offset").mapInArrow(merge, ENTRY)
 
 
 def folder(spark: SparkSession, what: str) -> str:
