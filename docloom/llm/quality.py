@@ -3,9 +3,10 @@
 A line with a word fails if it is
 * navigation: three or more separators (``|``, ``»``, ``>``, a bullet) between short entries;
 * badly punctuated: signs of ``#*$%&|<>{}[]=~^_\\`` are over a tenth of its characters, or it repeats ``!!`` or ``??`` three times or more;
-* boilerplate: a licence, rights, cookie or script notice.
-Failing lines are removed. A document that keeps less than half of its word characters, notices not counted, or
-none at all, is rejected, as is one that fails the base rules (under 10 words, or over 20 % of its words in 5-word windows found twice or more in it).
+* boilerplate: a licence, rights, cookie or script notice makes up the line, which has 240 characters at most; a
+  long line that mentions one is prose.
+Failing lines are removed. A document that keeps less than half of its word characters, or none at all, is rejected, as
+is one that fails the base rules (under 10 words, or over 20 % of its words in 5-word windows found twice or more in it).
 
 All of it is arithmetic inside one row, with no shuffle. Windows are compared by a 64-bit hash of their five words;
 only documents with an equal pair of hashes pay for the exact cover, by sorting (hash, position).
@@ -23,12 +24,12 @@ from .common import WORD, table
 
 #: RE2 and Java read these alike.
 NAVIGATION = r"([|»•>][^|»•>]{1,40}){3}"
-SHOUTS = r"(!!|\?\?).*(!!|\?\?).*(!!|\?\?)"
+SHOUTS = r"(?s)(!!|\?\?).*(!!|\?\?).*(!!|\?\?)"
 BOILERPLATE = r"(?i)(licensed under|released under the|all rights reserved|public license, version|accept (all )?cookies|cookie policy|enable javascript|terms of (use|service)|privacy policy|creative commons)"
 SIGNS = r"[^#*$%&|<>{}\[\]=~^_\\]+"
 BASE_SIGNS = r"[^#*$%&|<>]+"
 SPACE = r"[\x20\x09-\x0D]+"
-WINDOW, MIN_WORDS, MAX_REPEATED, MAX_SIGNS, MIN_LEFT = 5, 10, 20, 10, 50
+WINDOW, MIN_WORDS, MAX_REPEATED, MAX_SIGNS, MIN_LEFT, NOTICE = 5, 10, 20, 10, 50, 240
 
 
 def _length_without(text, pattern):
@@ -37,46 +38,45 @@ def _length_without(text, pattern):
 
 def line_fails(line):
     signs = _length_without(line, SIGNS) * 100 > F.length(line) * MAX_SIGNS
-    return line.rlike(NAVIGATION) | signs | line.rlike(SHOUTS) | line.rlike(BOILERPLATE)
+    return line.rlike(NAVIGATION) | signs | line.rlike(SHOUTS) | ((F.length(line) <= NOTICE) & line.rlike(BOILERPLATE))
 
 
-def assess(docs: DataFrame) -> DataFrame:
-    """The given columns, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, left_chars, notice_chars,
-    cleaned, base_failed, kept."""
-    taken = set(docs.columns)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    q = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(
-        F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"), F.split(text, "\n", -1).alias("lines")).alias("_q0"))
-    words, lines = F.col("_q0.words"), F.col("_q0.lines")
-    n = F.size(words)
-    q = q.select("*", words.alias("_w"), F.filter(lines, lambda x: x.rlike(WORD)).alias("_lines"), F.filter(lines, lambda x: ~line_fails(x)).alias("_good"), F.filter(lines, lambda x: x.rlike(BOILERPLATE)).alias("_notices")).drop("_q0")
-    words = F.col("_w")
+def judged(docs: DataFrame) -> DataFrame:
+    """row (a struct of the given columns), q (a struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, left_chars, cleaned, base_failed, kept)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    q = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"))
+    q = q.select("row", "text", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"), F.split("text", "\n", -1).alias("lines"))
+    q = q.select("row", "text", "words", F.filter("lines", lambda x: x.rlike(WORD)).alias("lines"), F.array_join(F.filter("lines", lambda x: ~line_fails(x)), "\n").alias("cleaned"))
+    words = F.col("words")
     grams = F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))
-    q = q.withColumn("_grams", F.when(F.size(words) >= WINDOW, grams))
-    pairs = F.sort_array(F.transform(F.col("_grams"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    q = q.withColumn("_pairs", F.when(F.size(F.array_distinct("_grams")) < F.size("_grams"), pairs))
-    at = lambda k: F.get(F.col("_pairs"), k)["h"]
-    found = F.filter(F.col("_pairs"), lambda x, k: F.coalesce(at(k - 1) == x["h"], F.lit(False)) | F.coalesce(at(k + 1) == x["h"], F.lit(False)))
-    q = q.withColumn("_at", F.sort_array(F.transform(found, lambda x: x["i"])))
-    cover = F.transform(F.col("_at"), lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("_at"), k + 1) - p, F.lit(WINDOW))))
-    q = q.withColumn("_repeat", F.coalesce(F.aggregate(cover, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long"))
-    cleaned = F.array_join("_good", "\n")
+    q = q.withColumn("grams", F.when(F.size(words) >= WINDOW, grams))
+    pairs = F.sort_array(F.transform(F.col("grams"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    q = q.withColumn("pairs", F.when(F.size(F.array_distinct("grams")) < F.size("grams"), pairs))
+    at = lambda k: F.get(F.col("pairs"), k)["h"]
+    found = F.filter(F.col("pairs"), lambda x, k: F.coalesce(at(k - 1) == x["h"], F.lit(False)) | F.coalesce(at(k + 1) == x["h"], F.lit(False)))
+    q = q.withColumn("at", F.sort_array(F.transform(found, lambda x: x["i"])))
+    cover = F.transform(F.col("at"), lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("at"), k + 1) - p, F.lit(WINDOW))))
     long = lambda c: c.cast("long")
-    out = {
-        "n_words": long(F.size("_w")),
-        "word_chars": long(_length_without(text, SPACE)),
-        "n_symbols": long(_length_without(text, BASE_SIGNS)),
-        "n_dup_lines": long(F.size("_lines") - F.size(F.array_distinct("_lines"))),
-        "n_repeat_words": F.col("_repeat"),
-        "left_chars": long(_length_without(cleaned, SPACE)),
-        "notice_chars": long(_length_without(F.array_join("_notices", " "), SPACE)),
-        "cleaned": cleaned,
-    }
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in out and c not in ("base_failed", "kept")]
-    q = q.select(*rest, *[v.alias(k) for k, v in out.items()])
+    q = q.select(
+        "row", "cleaned",
+        long(F.size("words")).alias("n_words"),
+        long(_length_without(F.col("text"), SPACE)).alias("word_chars"),
+        long(_length_without(F.col("text"), BASE_SIGNS)).alias("n_symbols"),
+        long(F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
+        long(F.coalesce(F.aggregate(cover, F.lit(0), lambda a, x: a + x), F.lit(0))).alias("n_repeat_words"),
+        long(_length_without(F.col("cleaned"), SPACE)).alias("left_chars"),
+    )
     q = q.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEATED))
-    enough = (F.col("left_chars") > 0) & (F.col("left_chars") * 100 >= (F.col("word_chars") - F.col("notice_chars")) * MIN_LEFT)
-    return q.withColumn("kept", ~F.col("base_failed") & enough)
+    enough = (F.col("left_chars") > 0) & (F.col("left_chars") * 100 >= F.col("word_chars") * MIN_LEFT)
+    q = q.withColumn("kept", ~F.col("base_failed") & enough)
+    return q.select("row", F.struct(*[c for c in q.columns if c != "row"]).alias("q"))
+
+
+def assess(docs: DataFrame) -> DataFrame:
+    """The given columns, and those of ``judged``; of two with one name the latter."""
+    q = judged(docs)
+    new = q.schema["q"].dataType.names
+    return q.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in new], "q.*")
 
 
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -101,16 +101,14 @@ q AS (SELECT w.*, len(words)::BIGINT AS n_words, coalesce(n_repeat_words, 0)::BI
         length(regexp_replace(text, '{SPACE}', '', 'g'))::BIGINT AS word_chars,
         length(regexp_replace(text, '{BASE_SIGNS}', '', 'g'))::BIGINT AS n_symbols,
         list_filter(lines, lambda x: regexp_matches(x, '{w}')) AS full_lines,
-        array_to_string(list_filter(lines, lambda x: regexp_matches(x, '{BOILERPLATE}')), ' ') AS notices,
-        array_to_string(list_filter(lines, lambda x: NOT (regexp_matches(x, '{NAVIGATION}') OR regexp_matches(x, '{SHOUTS}') OR regexp_matches(x, '{BOILERPLATE}')
+        array_to_string(list_filter(lines, lambda x: NOT (regexp_matches(x, '{NAVIGATION}') OR regexp_matches(x, '{SHOUTS}') OR (length(x) <= {NOTICE} AND regexp_matches(x, '{BOILERPLATE}'))
           OR length(regexp_replace(x, '{SIGNS}', '', 'g')) * 100 > length(x) * {MAX_SIGNS})), chr(10)) AS cleaned
       FROM w LEFT JOIN r USING (row_id)),
 z AS (SELECT *, n_words < {MIN_WORDS} OR n_repeat_words * 100 > n_words * {MAX_REPEATED} AS base_failed,
         (len(full_lines) - len(list_distinct(full_lines)))::BIGINT AS n_dup_lines,
-        length(regexp_replace(notices, '{SPACE}', '', 'g')) AS notice_chars,
         length(regexp_replace(cleaned, '{SPACE}', '', 'g')) AS left_chars FROM q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND left_chars > 0 AND left_chars * 100 >= (word_chars - notice_chars) * {MIN_LEFT} AS kept FROM z
+       NOT base_failed AND left_chars > 0 AND left_chars * 100 >= word_chars * {MIN_LEFT} AS kept FROM z
 """
 
 
