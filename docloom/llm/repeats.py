@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions
@@ -28,11 +28,17 @@ STEP = 1 << 18
 NO_ID = np.iinfo("int64").max
 
 
+def text_keys(text: Column) -> tuple[Column, Column]:
+    """The first 120 bits of a text's SHA-256, as two longs."""
+    digest = F.sha2(text, 256)
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.conv(F.substring(digest, 16, 15), 16, 10).cast("long")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> doc_id, k1, k2 (128 bits that stand for the text), text."""
+    """(doc_id, text) -> doc_id, k1, k2 (120 bits that stand for the text), text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    k2 = F.shiftleft(F.crc32(text), 31).bitwiseXOR(F.hash(text).cast("long"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), k2.alias("k2"), text.alias("text"))
+    k1, k2 = text_keys(text)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), text.alias("text"))
 
 
 #: Bytes of input files for a chunk; texts take about twice that in memory.

@@ -3,12 +3,15 @@
 A window of 20 words holds a whole 10-word block of its own document's grid (blocks start at every tenth word). So:
 
 1. every document's non-overlapping blocks are the index, and every rolling 10-word window probes it: both go, as
-   packed hashes, to buckets, which answer with the hashes that are a block somewhere and were met twice;
-2. each hit is extended by up to 10 words on both sides: the 20-word windows around hits, and only those, go to
-   buckets with the smallest (doc_id, start) of the chunk; the bucket names the first occurrence of each;
+   packed hashes, to buckets, which answer with the hashes that are a block somewhere and were met twice, in one chunk
+   or in several;
+2. each hit is extended by up to 10 words on both sides: the 20-word windows around hits, and only those, are compared
+   by (doc_id, start), first within the chunk; one of each goes to the buckets with the smallest (doc_id, start) of the
+   chunk and its place there, and the bucket tells the places that aren't the first in all;
 3. words under windows that are not the first are removed, so hits grow to whole maximal repeats.
 
-Window hashes have 96 bits. Copies of a whole text are found by its key before, and only its smallest id is searched.
+Windows are compared by two hashes of 64 and 32 bits. Copies of a whole text are found by its SHA-256 before, and only
+its smallest id is searched.
 
 Edge cases: a null text has no words; rows with equal id and text are one document; a null id comes after all others;
 texts of under 20 words lose nothing; an empty table gives an empty one.
@@ -69,22 +72,25 @@ def _index(n: int):
     return step
 
 
-_OCCURRENCE = np.dtype([("h", "<u8"), ("g", "<u4"), ("doc", "<i8"), ("at", "<u4")])
+#: A window: its hashes, where it is, and the place of its first word among all words of its chunk.
+_OCCURRENCE = np.dtype([("h", "<u8"), ("g", "<u4"), ("doc", "<i8"), ("at", "<u4"), ("place", "<i8")])
 
 
-def _firsts(h: np.ndarray, g: np.ndarray, doc: np.ndarray, at: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _firsts(x: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order by hash and then (doc, at, more), and which entries of it are the first of their hash."""
-    by = np.lexsort((more, at, doc, g, h))
-    same = (h[by][1:] == h[by][:-1]) & (g[by][1:] == g[by][:-1])
+    by = np.lexsort((more, x["at"], x["doc"], x["g"], x["h"]))
+    same = (x["h"][by][1:] == x["h"][by][:-1]) & (x["g"][by][1:] == x["g"][by][:-1])
     return by, np.concatenate([[True], ~same]) if len(by) else np.zeros(0, bool)
 
 
 def _extend(n: int):
+    """For a chunk: one of each window around a hit to its bucket; the places of those that aren't the chunk's first, to be kept for it, to bucket n + chunk."""
+
     def step(t: pa.Table, hits: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if not len(t) or not len(hits):
             return R.rows_of(["bucket", "chunk", "payload"], out)
-        chunk, c, known, found = t.column("chunk")[0].as_py(), R.Chunk(t), R.hit_places(hits)[0], []
+        chunk, c, known, found, done = t.column("chunk")[0].as_py(), R.Chunk(t), R.hit_places(hits)[0], [], 0
         for a, b in R.steps([len(x) for x in c.texts]):
             w = Words(c.texts[a:b])
             starts = w.windows(BLOCK)
@@ -96,10 +102,14 @@ def _extend(n: int):
             starts = starts[np.cumsum(near)[starts] > 0]
             x = np.zeros(len(starts), _OCCURRENCE)
             x["h"], x["g"] = w.hashes(starts, WINDOW), w.hashes(starts, WINDOW, _SECOND) & U(0xFFFFFFFF)
-            x["doc"], x["at"] = c.ids[a:b][w.text[starts]], w.at[starts]
+            x["doc"], x["at"], x["place"] = c.ids[a:b][w.text[starts]], w.at[starts], done + starts
             found.append(x)
+            done += len(w.hash)
         x = np.concatenate(found)
-        by, first = _firsts(x["h"], x["g"], x["doc"], x["at"], np.zeros(len(x), "int8"))
+        by, first = _firsts(x, x["place"])
+        late = np.sort(x["place"][by[~first]])
+        if len(late):
+            out.append((n + chunk, chunk, late.tobytes()))
         x = x[by[first]]
         bucket = (x["h"] % U(n)).astype("int64")
         x = x[np.argsort(bucket, kind="stable")]
@@ -123,63 +133,41 @@ def _unpack(p: bytes) -> np.ndarray:
     return x
 
 
-def _not_first(t: pa.Table) -> pa.Table:
-    """For a bucket: to each chunk, the windows whose first occurrence is in another chunk."""
-    chunks, bucket = t.column("chunk").to_pylist(), t.column("bucket")[0].as_py()
-    parts = [_unpack(p) for p in t.column("payload").to_pylist()]
-    x, owner = np.concatenate(parts), np.repeat(np.array(chunks), [len(p) for p in parts])
-    by, first = _firsts(x["h"], x["g"], x["doc"], x["at"], owner)
-    late = by[~first]
-    out = [(c, bucket, x["h"][mine].tobytes() + x["g"][mine].tobytes()) for c in chunks if len(mine := late[owner[late] == c])]
-    return R.rows_of(["chunk", "bucket", "payload"], out)
+def _not_first(n: int):
+    """For a bucket: to each chunk, the places of windows whose first occurrence is in another chunk."""
 
+    def step(t: pa.Table) -> pa.Table:
+        chunks, bucket = t.column("chunk").to_pylist(), t.column("bucket")[0].as_py()
+        if bucket >= n:
+            return t.select(["chunk", "bucket", "payload"])
+        parts = [_unpack(p) for p in t.column("payload").to_pylist()]
+        x, owner = np.concatenate(parts), np.repeat(np.array(chunks), [len(p) for p in parts])
+        by, first = _firsts(x, owner)
+        late = by[~first]
+        out = [(c, bucket, np.sort(x["place"][mine]).tobytes()) for c in chunks if len(mine := late[owner[late] == c])]
+        return R.rows_of(["chunk", "bucket", "payload"], out)
 
-_PAIR = np.dtype([("h", "<u8"), ("g", "<u8")])
+    return step
 
 
 def _remove(t: pa.Table, late: pa.Table) -> pa.Table:
     names = ["k1", "k2", "first_id", "n_words", "n_removed", "kept_sha256"]
     kinds = [pa.int64()] * 5 + [pa.string()]
-    if not len(t):
-        return pa.table({n: pa.array([], k) for n, k in zip(names, kinds, strict=True)})
-    c = R.Chunk(t)
-    h, g = [np.zeros(0, "uint64")], [np.zeros(0, "uint64")]
-    for p in late.column("payload").to_pylist():
-        n = len(p) // 12
-        h.append(np.frombuffer(p, "<u8", n))
-        g.append(np.frombuffer(p, "<u4", n, 8 * n).astype("uint64"))
-    gone = np.sort(R.mix(np.concatenate(h)) ^ np.concatenate(g))
-    # Within the chunk, by the same pair of hashes.
-    parts = []
-    for a, b in R.steps([len(x) for x in c.texts]):
-        w = Words(c.texts[a:b])
-        starts = w.windows(WINDOW)
-        parts.append((R.mix(w.hashes(starts, WINDOW)) ^ (w.hashes(starts, WINDOW, _SECOND) & U(0xFFFFFFFF)), c.ids[a:b][w.text[starts]], w.at[starts]))
-    key, doc, at = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    by = np.argsort(key, kind="stable")
-    same = np.concatenate([[False], key[by][1:] == key[by][:-1]]) if len(by) else np.zeros(0, bool)
-    twice = same | np.append(same[1:], False) if len(by) else same
-    dup = by[twice]
-    remove = R.among(key, gone)
-    order, first = _firsts(key[dup], key[dup], doc[dup], at[dup], np.arange(len(dup)))
-    remove[dup[order[~first]]] = True
     rows, done = [], 0
-    for (a, b), p in zip(R.steps([len(x) for x in c.texts]), parts, strict=True):
-        words = [x.split() for x in c.texts[a:b]]
-        counts = np.array([len(x) for x in words], "int64")
-        base = np.cumsum(counts) - counts
-        starts = np.repeat(base, np.maximum(counts - WINDOW + 1, 0)) + p[2]
-        mine = starts[remove[done : done + len(starts)]]
-        done += len(starts)
-        edge = np.zeros(int(counts.sum()) + 1, "int32")
-        np.add.at(edge, mine, 1)
-        np.add.at(edge, mine + WINDOW, -1)
-        covered = np.cumsum(edge)[:-1] > 0
-        for k, x in enumerate(words):
-            cov = covered[base[k] : base[k] + len(x)]
-            kept = [y for y, z in zip(x, cov.tolist(), strict=True) if not z] if cov.any() else x
-            doc_id = int(c.ids[a + k])
-            rows.append((*c.keys[a + k], None if doc_id == R.NO_ID else doc_id, len(x), len(x) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+    if len(t):
+        c = R.Chunk(t)
+        gone = np.sort(np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(p, "<i8") for p in late.column("payload").to_pylist())]))
+        for key, doc_id, text in zip(c.keys, c.ids.tolist(), c.texts, strict=True):
+            words = text.split()
+            a, b = np.searchsorted(gone, [done, done + len(words)])
+            kept = words
+            if b > a:
+                edge = np.zeros(len(words) + 1, "int32")
+                np.add.at(edge, gone[a:b] - done, 1)
+                np.add.at(edge, gone[a:b] - done + WINDOW, -1)
+                kept = [w for w, covered in zip(words, (np.cumsum(edge)[:-1] > 0).tolist(), strict=True) if not covered]
+            done += len(words)
+            rows.append((*key, None if doc_id == R.NO_ID else doc_id, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
     return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
 
 
@@ -187,7 +175,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, n_words, n_removed, kept_sha256."""
     texts, n = R.chunked(docs)
     hits = R.by_bucket(texts.groupBy("chunk").applyInArrow(_index(n), R.BUCKETED), n, R.shared(must_flag=True))
-    late = R.by_bucket(R.with_texts(texts, hits, _extend(n), R.BUCKETED), n, _not_first)
+    late = R.by_bucket(R.with_texts(texts, hits, _extend(n), R.BUCKETED), n, _not_first(n))
     done = R.with_texts(texts, late, _remove, "k1 long, k2 long, first_id long, n_words long, n_removed long, kept_sha256 string")
     every = R.members(docs, done)
     copy = ~F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("n_words") >= WINDOW)
