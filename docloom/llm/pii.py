@@ -4,15 +4,19 @@ Detected: e-mail and IPv4 addresses, telephone, card and social security numbers
 long hexadecimal strings), and names after a title. A surrogate depends on the key, the kind and the entity only, so
 an entity has one surrogate in the whole corpus, whatever its punctuation there:
 
-* characters are permuted within their class (digit, lower, upper, hexadecimal) by a keyed Feistel network over the
-  whole string, a bijection: entities of one shape never share a surrogate. Separators, lengths and case stay; a
-  phone's country code, an IP's kind (private or not), a card's Luhn validity and a mail's top-level domain stay too;
+* characters are permuted within their class (digit, lower, upper, hexadecimal) by a keyed bijection of all strings of
+  that shape without fixed points: entities of one shape never share a surrogate, none stays as it is, and a corpus
+  that has every string of a shape maps onto itself. Separators, lengths and case stay; a phone's country code, an IP's
+  kind (private or not), a card's Luhn validity and a mail's top-level domain stay too;
 * names are built word by word from syllables of their script (Latin or Cyrillic), given names with an ending of
-  their title's gender, in the case of the original: ``Mr. John Smith`` and ``Mr. Smith`` keep a common surname.
+  their title's gender, in the case of the original: ``Mr. John Smith`` and ``Mr. Smith`` keep a common surname. Endings
+  differ by kind, so kinds never meet.
 
-Collisions are looked for over the distinct entities of the corpus, as a table: surrogates that two entities share,
-or that are themselves an entity of the corpus, get the next attempt until none are left. Only if there were any are
-documents joined with those; usually the text is read twice and never shuffled.
+Collisions are looked for over the distinct entities of the corpus, as a table: surrogates that two entities share
+(names, mails whose letters outside ASCII had to be spelt, secrets of different shapes), and names that are a name of the
+corpus, get the next attempt until none are left. A name is a syllable longer with each attempt, so there is always
+room. The entities that needed one are sent to all tasks if they are few; else documents are joined with those of their
+own. Usually the text is read twice and never shuffled.
 
 Edge cases: a null text stays null, an empty one empty; other columns are kept as they are, whatever their names;
 equal rows are replaced alike; an empty table gives an empty one.
@@ -26,13 +30,22 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
-from .repeats import keyed
+from .repeats import keyed, text_keys
+
+#: For the registered queries and tests only, where the session doesn't name one: who knows the key can invert surrogates.
+EXAMPLE_KEY = b"docloom example key"
+#: Entities (and their characters) beyond a first attempt that are sent to all tasks at most.
+FEW, FEW_CHARS = 20_000, 2_000_000
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The session's ``spark.docloom.pii.key``, else the example key."""
+    return spark.conf.get("spark.docloom.pii.key", EXAMPLE_KEY.decode()).encode()
 
-KEY = b"docloom surrogate key"  # a parameter: give your own
 
 _TITLES = {
     "m": ["Mr", "Mister", "Sir", "Herr", "Señor", "Monsieur", "Don", "г-н", "господин"],
@@ -103,7 +116,10 @@ def _digest(key: bytes, *parts) -> int:
 
 
 def permute(key: bytes, tweak: str, symbols: str, classes: str) -> str:
-    """A bijection of the strings of these classes ('-' keeps its symbol): eight rounds of an alternating Feistel network."""
+    """A bijection without fixed points of the strings of these classes ('-' keeps its symbol).
+
+    A keyed Feistel network numbers the strings; the string of the number a keyed distance ahead takes this one's place.
+    """
     places = [k for k, c in enumerate(classes) if c != "-"]
     halves = places[::2], places[1::2]
     value, size = [0, 0], [1, 1]
@@ -111,10 +127,18 @@ def permute(key: bytes, tweak: str, symbols: str, classes: str) -> str:
         for k in halves[h]:
             alphabet = _CLASSES[classes[k]]
             value[h], size[h] = value[h] * len(alphabet) + alphabet.index(symbols[k]), size[h] * len(alphabet)
+    whole = size[0] * size[1]
+    if whole < 2:
+        return symbols
     kept = "".join(s for s, c in zip(symbols, classes, strict=True) if c == "-")
+    context = f"{tweak}\x00{classes}\x00{kept}"
+    step = lambda r: _digest(key, context, r, value[1 - r % 2])
     for r in range(8):
-        h = r % 2
-        value[h] = (value[h] + _digest(key, tweak, classes, kept, r, value[1 - h])) % size[h]
+        value[r % 2] = (value[r % 2] + step(r)) % size[r % 2]
+    number = (value[0] * size[1] + value[1] + 1 + _digest(key, context, "ahead") % (whole - 1)) % whole
+    value = list(divmod(number, size[1]))
+    for r in reversed(range(8)):
+        value[r % 2] = (value[r % 2] - step(r)) % size[r % 2]
     out = list(symbols)
     for h in (0, 1):
         for k in reversed(halves[h]):
@@ -134,7 +158,7 @@ def _words_of(key: bytes, kind: str, entity: str, attempt: int) -> str:
     ends = {"given m": ["ан", "ир", "ев"] if cyrillic else ["an", "ek", "or", "us"], "given f": ["ана", "ия", "ина"] if cyrillic else ["a", "ina", "elle", "ia"]}.get(kind, ["ов", "енко", "ский"] if cyrillic else ["er", "son", "ard", "well"])
     n = _digest(key, kind, attempt, entity)
     out = ""
-    for _ in range(3):
+    for _ in range(min(3 + attempt, 24)):
         n, o = divmod(n, len(onsets))
         n, v = divmod(n, len(vowels))
         out += onsets[o] + vowels[v]
@@ -203,19 +227,21 @@ def entities(texts: DataFrame) -> DataFrame:
     return texts.select("k1", "k2", "text").mapInPandas(run, "k1 long, k2 long, kind string, entity string")
 
 
-def attempts(found: DataFrame, key: bytes = KEY, most: int = 50) -> DataFrame:
-    """(kind, entity), distinct -> kind, entity, attempt for the entities whose first surrogate is another's, or another entity."""
+def attempts(found: DataFrame, key: bytes, most: int = 50) -> DataFrame:
+    """(kind, entity), distinct -> kind, entity, attempt for the entities whose first surrogate is another's too, or, of names, another entity."""
 
     @F.pandas_udf("string")
     def new(kind: pd.Series, entity: pd.Series, attempt: pd.Series) -> pd.Series:
         return pd.Series([surrogate(key, k, e, int(a)) for k, e, a in zip(kind, entity, attempt, strict=True)], dtype=object)
 
+    named = (F.col("kind") == "surname") | F.col("kind").startswith("given")
     settled = cut(found.withColumn("attempt", F.lit(0)).withColumn("s", new("kind", "entity", "attempt")))
+    own = found.filter(named).select(F.col("entity").alias("s")).distinct()
     for _ in range(most):
-        own = settled.select(F.col("kind").alias("kind"), F.col("entity").alias("s"))
         # The one with the lowest attempt, then the lowest entity, keeps a shared surrogate.
         owner = settled.groupBy("kind", "s").agg(F.min(F.struct("attempt", "entity")).alias("owner"), F.count("*").alias("n")).filter("n > 1").select("kind", "s", F.col("owner.entity").alias("owner"))
-        clash = settled.join(owner, ["kind", "s"]).filter("entity <> owner").select("kind", "entity").union(settled.join(own, ["kind", "s"], "left_semi").select("kind", "entity")).distinct()
+        taken = settled.filter(named).join(own, "s", "left_semi").select("kind", "entity")
+        clash = settled.join(owner, ["kind", "s"]).filter("entity <> owner").select("kind", "entity").union(taken).distinct()
         clash = cut(clash.withColumn("clash", F.lit(1)))
         if clash.isEmpty():
             return settled.filter("attempt > 0").select("kind", "entity", "attempt")
@@ -224,18 +250,21 @@ def attempts(found: DataFrame, key: bytes = KEY, most: int = 50) -> DataFrame:
     raise ValueError("surrogates still collide")
 
 
-def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """The given columns with ``text`` replaced, and n_entities."""
+def replace(docs: DataFrame, key: bytes, count_as: str | None = "n_entities") -> DataFrame:
+    """The given columns with ``text`` replaced, and how many spans were, as ``count_as`` (in the place of a given column of that name), or not if None."""
     texts = keyed(docs)
     found = entities(texts)
     moved = cut(attempts(found.select("kind", "entity").distinct(), key))
+    n, chars = moved.agg(F.count("*"), F.coalesce(F.sum(F.length("entity")), F.lit(0))).first()
+    few = n <= FEW and chars <= FEW_CHARS
+    everywhere = {(r["kind"], r["entity"]): r["attempt"] for r in moved.collect()} if few else {}
 
     @F.pandas_udf("text string, n long")
     def rewrite(text: pd.Series, special: pd.Series) -> pd.DataFrame:
         out, counts = [], []
         for t, s in zip(text, special, strict=True):
             spans = find(t) if t else []
-            tries = {(x["kind"], x["entity"]): x["attempt"] for x in s} if s is not None else {}
+            tries = {(x["kind"], x["entity"]): x["attempt"] for x in s} if s is not None else everywhere
             parts, last = [], 0
             for a, b, kind, entity in spans:
                 parts += [t[last:a], dressed(t[a:b], kind, surrogate(key, kind, entity, tries.get((kind, entity), 0)))]
@@ -244,20 +273,17 @@ def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             counts.append(len(spans))
         return pd.DataFrame({"text": pd.Series(out, dtype=object), "n": pd.Series(counts, dtype="int64")})
 
-    none = F.lit(None).cast("array<struct<kind:string,entity:string,attempt:int>>")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    if moved.isEmpty():
-        rows = docs.select(*columns, none.alias("_special"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    if few:
+        rows = rows.withColumn("special", F.lit(None).cast("array<struct<kind:string,entity:string,attempt:int>>"))
     else:
-        special = found.join(moved, ["kind", "entity"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("_special"))
-        text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-        k2 = F.shiftleft(F.crc32(text), 31).bitwiseXOR(F.hash(text).cast("long"))
-        rows = docs.select(*columns, F.xxhash64(text).alias("_k1"), k2.alias("_k2"))
-        rows = rows.join(special, (F.col("_k1") == special["k1"]) & (F.col("_k2") == special["k2"]), "left").select(*columns, "_special")
-    rows = rows.withColumn("_new", rewrite("text", "_special"))
-    kept = [F.col("_new.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "n_entities"]
-    return rows.select(*kept, F.col("_new.n").alias("n_entities"))
+        special = found.join(moved, ["kind", "entity"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("special"))
+        k1, k2 = text_keys(F.coalesce(F.col("text"), F.lit("")))
+        rows = rows.withColumn("k1", k1).withColumn("k2", k2).join(special, ["k1", "k2"], "left")
+    rows = rows.select("row", rewrite("text", "special").alias("new"))
+    kept = [F.col("new.text").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c != count_as]
+    return rows.select(*kept, *([F.col("new.n").alias(count_as)] if count_as else []))
 
 
 def op6_pii(spark, sf_dir):
-    return replace(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+    return replace(table(spark, sf_dir, "documents"), key_of(spark)).select("doc_id", "text", "n_entities")
