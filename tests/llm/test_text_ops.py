@@ -91,8 +91,9 @@ def repeated_words(words):
 
 def test_quality_counts(spark, docs, empty):
     more = spark.createDataFrame([(100, "a b c d e a b c d e a b c d", None), (101, "x\nx\n\n\nx y\nx #*$%&|<>", None)], "doc_id long, text string, source string")
-    for r in quality.assess(docs.select("doc_id", "text", "source").unionByName(more)).collect():
-        pass
+    got = {r["doc_id"]: r for r in quality.assess(more).collect()}
+    assert [got[100][c] for c in ("n_words", "n_repeat_words", "base_failed")] == [14, 14, True]
+    assert [got[101][c] for c in ("n_words", "n_dup_lines", "n_symbols", "word_chars")] == [6, 1, 8, 13]
     rows = quality.assess(docs.withColumn("kept", F.lit("clash"))).select("doc_id", *quality.COLUMNS[1:]).collect()
     texts = Counter()
     for d, t, *_ in corpus():
@@ -203,7 +204,7 @@ def test_pii_round(spark, docs, empty):
         (3, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"###'), (4, "Mr. John Smith, Mr. Smith, Frau Smith; г-жа Иванова"), (5, "In 2024, version 2.0 of 1,200 texts."), (6, None), (7, ""),
     ]
     df = spark.createDataFrame([(*t, "c") for t in texts], "doc_id long, text string, n_entities string")
-    got = {r["doc_id"]: r for r in pii.replace(df).collect()}
+    got = {r["doc_id"]: r for r in pii.replace(df, pii.EXAMPLE_KEY).collect()}
     a = got[1]["text"]
     assert "anna" not in a.lower() and "5557713" not in re.sub(r"\D", "", a) and "+1 (" in a
     mails = re.findall(r"\S+@[^\s;]+", a)
@@ -216,15 +217,15 @@ def test_pii_round(spark, docs, empty):
     name = re.match(r"Mr\. (\w+) (\w+), Mr\. (\w+), Frau (\w+); г-жа (\w+)", got[4]["text"])
     assert name[2] == name[3] == name[4] and name[2] != "Smith" and re.search("[а-я]", name[5]) and name[5] != "Иванова"
     assert got[5]["text"] == texts[4][1] and got[6]["text"] is None and got[7]["text"] == ""
-    assert pii.replace(empty).count() == 0 and sorted(r["text"] or "" for r in pii.replace(docs).select("text").collect()) == sorted(r[1] or "" for r in corpus())
+    assert pii.replace(empty, pii.EXAMPLE_KEY).count() == 0 and sorted(r["text"] or "" for r in pii.replace(docs, pii.EXAMPLE_KEY).select("text").collect()) == sorted(r[1] or "" for r in corpus())
 
 
 def test_pii_permutation_and_collisions(spark):
     seen = {pii.permute(b"k", "t", f"{n:04d}", "dddd") for n in range(10_000)}
     assert len(seen) == 10_000
     found = spark.createDataFrame([("surname", f"name{k}") for k in range(3000)], "kind string, entity string")
-    tries = {(r["kind"], r["entity"]): r["attempt"] for r in pii.attempts(found).collect()}
-    final = {pii.surrogate(pii.KEY, "surname", f"name{k}", tries.get(("surname", f"name{k}"), 0)) for k in range(3000)}
+    tries = {(r["kind"], r["entity"]): r["attempt"] for r in pii.attempts(found, pii.EXAMPLE_KEY).collect()}
+    final = {pii.surrogate(pii.EXAMPLE_KEY, "surname", f"name{k}", tries.get(("surname", f"name{k}"), 0)) for k in range(3000)}
     assert len(final) == 3000 and tries
 
 
@@ -233,8 +234,8 @@ def test_pii_joined_attempts(spark, monkeypatch):
     real = pii.surrogate
     monkeypatch.setattr(pii, "attempts", lambda found, key, most=50: found.filter("entity = 'smith'").withColumn("attempt", F.lit(3)))
     df = spark.createDataFrame([(1, "Mr. Smith"), (2, "Mr. Jones"), (3, "none"), (None, None)], "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in pii.replace(df).collect()}
-    assert got == {1: "Mr. " + real(pii.KEY, "surname", "smith", 3).title(), 2: "Mr. " + real(pii.KEY, "surname", "jones", 0).title(), 3: "none", None: None}
+    got = {r["doc_id"]: r["text"] for r in pii.replace(df, pii.EXAMPLE_KEY).collect()}
+    assert got == {1: "Mr. " + real(pii.EXAMPLE_KEY, "surname", "smith", 3).title(), 2: "Mr. " + real(pii.EXAMPLE_KEY, "surname", "jones", 0).title(), 3: "none", None: None}
 
 
 @pytest.mark.parametrize("frequent", [100_000, 1])
