@@ -20,8 +20,6 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from typing import BinaryIO
 
@@ -29,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions, table
+from .common import cut, folder, shuffle_partitions, table
 
 MIN_SHARED = 100
 PER_FILE, FILE_BYTES = 5_000, 64 << 20
@@ -208,12 +206,6 @@ def merge_index(index: DataFrame) -> DataFrame:
     return index.repartitionByRange(ranges, *by).sortWithinPartitions("run", *by[:3], "offset").mapInArrow(merge, ENTRY)
 
 
-def folder(spark: SparkSession, what: str) -> str:
-    """A new folder beside the checkpoints, which all executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="docloom-")
-    return f"{top}/{what}-{uuid.uuid4().hex}"
-
-
 def op9_warc(spark, sf_dir):
     path = folder(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
