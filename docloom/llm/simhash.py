@@ -20,7 +20,7 @@ unless all of it are null; equal rows are linked; an empty table gives an empty
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -103,27 +103,50 @@ def _near(a, b, max_bits: int):
     return F.bit_count(a.bitwiseXOR(b)) <= max_bits
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, verify: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
-    """(fp, copies), distinct -> (node, low): components of fingerprints within max_bits of each other, as components() gives them.
-
-    ``verify`` may drop pairs (a, b) of fingerprints that are near but whose texts aren't.
-    """
-    plan = segments(fps.count(), max_bits)
-    values = _values(F.col("fp"), plan)
+def _tables(fps: DataFrame, values: list) -> tuple[DataFrame, DataFrame]:
+    """(fp, copies) -> key, fp of the tables; key, pivots: a few fingerprints of each table entry."""
     keys = F.array(*[v + F.lit(k << 56) for k, v in enumerate(values)])
     entries = fps.select("fp", "copies", F.explode(keys).alias("key"))
     mixed = F.xxhash64("fp")
-    pivots = entries.groupBy("key").agg(F.count("*").alias("n"), F.array(F.max_by("fp", "copies"), F.min("fp"), F.max("fp"), F.min_by("fp", mixed), F.max_by("fp", mixed)).alias("pivots")).filter("n > 1").drop("n")
+    pivots = entries.groupBy("key").agg(F.count("*").alias("n"), F.array(F.max_by("fp", "copies"), F.min("fp"), F.max("fp"), F.min_by("fp", mixed), F.max_by("fp", mixed)).alias("pivots"))
+    return entries, pivots
+
+
+def _probes(values: list, plan: list[tuple[int, int, int]]):
+    return F.explode(F.concat(*[_around(v, k, width, radius) for k, (v, (_, width, radius)) in enumerate(zip(values, plan, strict=True))]))
+
+
+def _pairs(found: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, pivots) -> a, b: those within max_bits."""
     close = F.filter(F.array_distinct("pivots"), lambda p: (p != F.col("fp")) & _near(F.col("fp"), p, max_bits))
-    stars = entries.join(pivots, "key").select(F.col("fp").alias("a"), F.explode(close).alias("b"))
-    stars = verify(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = found.select(F.col("fp").alias("a"), F.explode(close).alias("b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def pivot_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(fp, copies), distinct -> (a, b) within max_bits: each fingerprint with the pivots of the table entries in its balls.
+
+    A few links a fingerprint however dense a group is; not all, as a table entry stands for its pivots only.
+    """
+    plan = segments(fps.count(), max_bits)
+    values = _values(F.col("fp"), plan)
+    _, pivots = _tables(fps, values)
+    return _pairs(fps.select("fp", _probes(values, plan).alias("key")).join(pivots, "key"), max_bits)
+
+
+def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(fp, copies), distinct -> (node, low): components of fingerprints within max_bits of each other, as components() gives them."""
+    plan = segments(fps.count(), max_bits)
+    values = _values(F.col("fp"), plan)
+    entries, pivots = _tables(fps, values)
+    stars = _pairs(entries.join(pivots.filter("n > 1"), "key"), max_bits)
     rough = cut(components(stars.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     known = cut(fps.join(rough, fps["fp"] == rough["node"], "left").select("fp", F.coalesce("low", "fp").alias("c")))
-    probes = F.concat(*[_around(v, k, width, radius) for k, (v, (_, width, radius)) in enumerate(zip(values, plan, strict=True))])
-    left = known.select(F.col("fp").alias("a"), F.col("c").alias("ca"), F.explode(probes).alias("key"))
+    keys = F.array(*[v + F.lit(k << 56) for k, v in enumerate(values)])
+    left = known.select(F.col("fp").alias("a"), F.col("c").alias("ca"), _probes(values, plan).alias("key"))
     right = known.select(F.col("fp").alias("b"), F.col("c").alias("cb"), F.explode(keys).alias("key"))
     found = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near(F.col("a"), F.col("b"), max_bits))
-    across = verify(found.select("a", "b", "ca", "cb").distinct()).select(F.col("ca").alias("u"), F.col("cb").alias("v"))
+    across = found.select(F.col("ca").alias("u"), F.col("cb").alias("v")).distinct()
     return components(rough.select(F.col("node").alias("u"), F.col("low").alias("v")).union(across))
 
 
