@@ -17,12 +17,14 @@ from ..functions.scores import SCORERS
 def match_names(queries: DataFrame, catalog: DataFrame, limit: int = 3, min_score: float = 40.0, scorer: str = "token_set") -> DataFrame:
     """queries (query_id, shop_id, name), catalog (id, shop_id, normalized_name, ...) -> query_id, rank, id, raw_score, score.
 
-    Every name of a shop is compared with every name of its catalog, as fuzzy hits need not share a token. Of each
-    query at most ``limit`` names can hold its best ids, so names are ranked first and expanded to ids after.
+    Jaccard hits share a token: names meet on the rarest tokens that a hit can't do without. Other fuzzy hits need not
+    share one, so every name of a shop is compared with every name of its catalog, dealt out by parts of the catalog.
+    Of each query at most ``limit`` names can hold its best ids, so names are ranked first and expanded to ids after.
     """
     q = queries.select("query_id", "shop_id", normalize(F.col("name")).alias("q")).filter("q <> ''")
     names = catalog.select("shop_id", F.col("normalized_name").alias("n")).distinct()
-    pairs = q.select("shop_id", "q").distinct().join(names, "shop_id")
+    asked = q.select("shop_id", "q").distinct()
+    pairs = _sharing(asked, names, min_score) if scorer == "jaccard" and min_score > 0 else _all_pairs(asked, names)
     scored = pairs.withColumn("raw_score", SCORERS[scorer](F.col("q"), F.col("n"))).filter(F.col("raw_score") >= min_score)
     # All names that tie with the limit-th stay, as one of their ids may be smaller.
     near = scored.withColumn("r", F.rank().over(W.partitionBy("shop_id", "q").orderBy(F.desc("raw_score")))).filter(F.col("r") <= limit).drop("r")
@@ -34,6 +36,30 @@ def match_names(queries: DataFrame, catalog: DataFrame, limit: int = 3, min_scor
     return q.join(best, ["shop_id", "q"]).select("query_id", "rank", "id", "raw_score", F.bround("raw_score", 1).alias("score"))
 
 
+#: Parts of a shop's catalog that meet each query in tasks of their own.
+PARTS = 32
+
+
+def _all_pairs(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """(shop_id, q), (shop_id, n) -> their pairs by shop; a shop's catalog is dealt to ``PARTS`` tasks."""
+    dealt = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return dealt.join(names.withColumn("part", F.pmod(F.hash("n"), F.lit(PARTS))), ["shop_id", "part"]).drop("part")
+
+
+def _sharing(asked: DataFrame, names: DataFrame, min_score: float) -> DataFrame:
+    """The pairs that can have that Jaccard score: of two sets one of which has m tokens they share ceil(score * m), so
+    one of the first m - ceil(score * m) + 1 in any order common to all; rare tokens come first."""
+    tokens = names.select(F.explode(F.array_distinct(F.split("n", " "))).alias("token")).groupBy("token").agg(F.count("*").alias("uses"))
+
+    def prefix(df: DataFrame, name: str) -> DataFrame:
+        each = df.select("shop_id", name, F.explode(F.array_distinct(F.split(name, " "))).alias("token")).join(tokens, "token", "left")
+        ranked = each.groupBy("shop_id", name).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "token"))).alias("t"))
+        needed = F.ceil(F.size("t") * F.lit(min_score / 100) - 1e-9)
+        return ranked.select("shop_id", name, F.explode(F.slice(F.col("t.token"), F.lit(1), (F.size("t") - needed + 1).cast("int"))).alias("token"))
+
+    return prefix(asked, "q").join(prefix(names, "n"), ["shop_id", "token"]).select("shop_id", "q", "n").distinct()
+
+
 def match_items(items: DataFrame, catalog: DataFrame, scorer: str = "token_set") -> tuple[DataFrame, DataFrame]:
     """items (document_id, item_no, shop_id, name) -> a row an item (best_score, candidates), a row a document (matched, total)."""
     keyed = items.withColumn("query_id", F.struct("document_id", "item_no"))

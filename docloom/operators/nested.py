@@ -85,23 +85,24 @@ def project(rows: DataFrame, columns: dict[str, str], keep: tuple[str, ...] = ()
 
 def walk(docs: DataFrame, schema: T.StructType) -> DataFrame:
     """(document_id, data) -> document_id, position, path, value, confidence: every leaf, in order of the schema; lists give ``a[i].b``."""
-    parts = []
+    parts = []  # arrays of leaves, so that a document is read once
+
+    def leaf(k, i, j, path, node):
+        order = F.struct(F.lit(k).alias("a"), i.alias("i"), F.lit(j).alias("j"))
+        return F.struct(order.alias("position"), path.alias("path"), node["value"].alias("value"), node["confidence"].alias("confidence"))
+
+    def items(k, top, names):
+        path = lambda i, n: F.concat(F.lit(f"{top}["), i.cast("string"), F.lit(f"].{n}"))
+        return lambda x, i: F.array(*[leaf(k, i, j, path(i, n), x[n]) for j, n in enumerate(names)])
+
     for k, top in enumerate(schema.fields):
         base = F.col(f"data.{top.name}")
-        order = lambda i, j, k=k: F.struct(F.lit(k).alias("a"), i.alias("i"), F.lit(j).alias("j"))
         if isinstance(top.dataType, T.ArrayType):
             names = [f.name for f in top.dataType.elementType.fields]
-            each = F.posexplode(base).alias("i", "row")
-            one = docs.select("document_id", each)
-            leaf = F.array(*[F.struct(order(F.col("i"), j).alias("position"), F.concat(F.lit(f"{top.name}["), F.col("i").cast("string"), F.lit(f"].{n}")).alias("path"), F.col(f"row.{n}").alias("leaf")) for j, n in enumerate(names)])
+            parts.append(F.flatten(F.transform(F.coalesce(base, F.array()), items(k, top.name, names))))
         else:
-            one = docs
-            leaf = F.array(*[F.struct(order(F.lit(0), j).alias("position"), F.lit(f"{top.name}.{f.name}").alias("path"), F.col(f"data.{top.name}.{f.name}").alias("leaf")) for j, f in enumerate(top.dataType.fields)])
-        parts.append(one.select("document_id", F.inline(leaf)))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.select("document_id", "position", "path", F.col("leaf.value").alias("value"), F.col("leaf.confidence").alias("confidence"))
+            parts.append(F.array(*[leaf(k, F.lit(0), j, F.lit(f"{top.name}.{f.name}"), base[f.name]) for j, f in enumerate(top.dataType.fields)]))
+    return docs.select("document_id", F.inline(F.concat(*parts)))
 
 
 def is_low(value: Column, confidence: Column, threshold: float = 0.6) -> Column:
@@ -114,10 +115,10 @@ def low_confidence(fields: DataFrame, threshold: float = 0.6) -> DataFrame:
     return low.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("position", "path"))).alias("p")).select("document_id", F.col("p.path").alias("low_confidence"))
 
 
-def overall_confidence(fields: DataFrame) -> DataFrame:
-    """Mean confidence of filled leaves, three places; null if none is filled."""
-    filled = F.when((F.coalesce(F.col("value"), F.lit("")) != ""), F.col("confidence"))
-    return fields.groupBy("document_id").agg(F.bround(F.avg(filled), 3).alias("overall_confidence"))
+def overall_confidence(fields: DataFrame, places: int = 3) -> DataFrame:
+    """Mean confidence of filled leaves, half-even; null if none is filled. Exact decimals, so the order of leaves doesn't matter."""
+    filled = F.when((F.coalesce(F.col("value"), F.lit("")) != ""), F.col("confidence").cast("decimal(10,6)"))
+    return fields.groupBy("document_id").agg(F.bround(F.avg(filled).cast("double"), places).alias("overall_confidence"))
 
 
 def needs_attention(fields: Column, best_score: Column, connected: Column, threshold: float = 0.6) -> Column:
@@ -192,6 +193,11 @@ def sections(docs: DataFrame, doc_type: str) -> DataFrame:
     return docs.select("document_id", F.posexplode(F.concat(F.array(*heads), items)).alias("i", "s")).select("document_id", (F.col("i") + 1).alias("section"), "s.title", "s.item_no", "s.fields")
 
 
+def item_fields(item: Column, doc_type: str) -> Column:
+    """The shown leaves (label, value, confidence) of one list element."""
+    return _shown(item, ITEM_SECTIONS["invoice" if doc_type == "invoice" else "prescription"][1])
+
+
 def item_summary(fields: Column, sep: str = "  ·  ") -> Column:
     """The first three filled values after the first field, with their labels, joined."""
     filled = F.filter(F.slice(fields, 2, 100), lambda x: F.coalesce(x["value"], F.lit("")) != "")

@@ -145,19 +145,17 @@ def low_confidence(spark, sf_dir):
 
 @query(f"WITH {A.INVOICES}, {A.LEAVES} SELECT document_id, round_even(avg(confidence::DECIMAL(10,6)) FILTER (coalesce(value, '') <> ''), 2) AS overall_confidence FROM leaves GROUP BY document_id")
 def overall_confidence(spark, sf_dir):
-    # Two places and exact decimals for the check alone: sums of doubles depend on their order.
-    w = nested.walk(A.invoices(spark, sf_dir).select("document_id", "data"), nested.INVOICE)
-    exact = F.avg(F.when(F.coalesce("value", F.lit("")) != "", F.col("confidence").cast("decimal(10,6)"))).cast("double")
-    return w.groupBy("document_id").agg(F.bround(exact, 2).alias("overall_confidence"))
+    # Two places for the check alone: engines divide decimals alike to that.
+    return nested.overall_confidence(nested.walk(A.invoices(spark, sf_dir).select("document_id", "data"), nested.INVOICE), places=2)
 
 
 @query(f"""WITH {A.INVOICES}, n AS (SELECT document_id, (low < 0.6 OR coalesce(batch_low < 0.6 AND batch_no <> '', false) OR 100 - hsn::INT % 60 < 70) AS flag FROM items)
 SELECT document_id, count(*) FILTER (flag)::BIGINT AS needs_attention, count(*)::BIGINT AS items FROM n GROUP BY document_id""")
 def needs_attention_count(spark, sf_dir):
-    s = nested.sections(A.invoices(spark, sf_dir), "invoice").filter("item_no IS NOT NULL")
-    hsn = nested.flatten_rows(A.invoices(spark, sf_dir), "invoice").select("document_id", "item_no", "hsn")
-    flag = nested.needs_attention(F.col("fields"), F.lit(100.0) - F.col("hsn").cast("int") % 60, F.lit(True))
-    return s.join(hsn, ["document_id", "item_no"]).groupBy("document_id").agg(F.count_if(flag).alias("needs_attention"), F.count("*").alias("items"))
+    item = F.col("item")
+    flag = nested.needs_attention(nested.item_fields(item, "invoice"), F.lit(100.0) - item["hsn"]["value"].cast("int") % 60, F.lit(True))
+    s = A.invoices(spark, sf_dir).select("document_id", F.explode("data.line_items").alias("item"))
+    return s.groupBy("document_id").agg(F.count_if(flag).alias("needs_attention"), F.count("*").alias("items"))
 
 
 @query(f"""WITH {A.INVOICES} SELECT document_id, (item_no + 3)::INT AS section, 'lineItems #' || (item_no + 1) AS title,
@@ -210,15 +208,11 @@ def deliveries_latest(spark, sf_dir):
 _PLAN = f"""WITH {A.DELIVERIES}, last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY idempotency_key ORDER BY created_at DESC, id DESC) AS k FROM deliveries) WHERE k = 1),
 plan AS (SELECT o_orderkey AS document_id, c.connector_id, o_orderkey || ':' || c.connector_id AS idempotency_key, last.id AS delivery_id,
   CASE WHEN last.status = 'success' THEN 'skip' WHEN last.id IS NOT NULL THEN 'retry' ELSE 'insert' END AS action
-  FROM orders CROSS JOIN (VALUES ('click'), ('view')) c(connector_id) LEFT JOIN last ON last.idempotency_key = o_orderkey || ':' || c.connector_id WHERE o_orderkey < 400)"""
-
+  FROM orders CROSS JOIN (VALUES ('click'), ('view')) c(connector_id) LEFT JOIN last ON last.idempotency_key = o_orderkey || ':' || c.connector_id)"""
 
-#: The same over all orders.
-_PLAN_ALL = _PLAN.replace(" WHERE o_orderkey < 400)", ")")
 
-
-def _plan(spark, sf_dir, which: str = "true"):
-    docs = A.table(spark, sf_dir, "orders").filter(which).select(F.col("o_orderkey").alias("document_id"), F.lit(1).alias("shop_id"))
+def _plan(spark, sf_dir):
+    docs = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), F.lit(1).alias("shop_id"))
     connectors = spark.createDataFrame([(1, "click", True), (1, "view", True), (1, "error", False)], "shop_id int, connector_id string, enabled boolean")
     return lifecycle.push_plan(docs, connectors, A.deliveries(spark, sf_dir))
 
@@ -232,12 +226,6 @@ def _planned(plan):
 
 @query(_PLAN + _PLANNED)
 def push_plan(spark, sf_dir):
-    """The first orders only, as its SQL says; push_plan_all has all."""
-    return _planned(_plan(spark, sf_dir, "o_orderkey < 400"))
-
-
-@query(_PLAN_ALL + _PLANNED)
-def push_plan_all(spark, sf_dir):
     return _planned(_plan(spark, sf_dir))
 
 
@@ -255,12 +243,6 @@ def _upserted(spark, sf_dir, plan):
 
 @query(_PLAN + _UPSERTED)
 def push_upsert(spark, sf_dir):
-    """The first orders only, as its SQL says; push_upsert_all has all."""
-    return _upserted(spark, sf_dir, _plan(spark, sf_dir, "o_orderkey < 400"))
-
-
-@query(_PLAN_ALL + _UPSERTED)
-def push_upsert_all(spark, sf_dir):
     return _upserted(spark, sf_dir, _plan(spark, sf_dir))
 
 
@@ -382,12 +364,12 @@ def upload_validation(spark, sf_dir):
 _JACCARD = """CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE 100.0::DOUBLE * len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) END"""
 
 
-def _queries(spark, sf_dir, which: str = "true"):
+def _queries(spark, sf_dir):
     c = A.catalog(spark, sf_dir)
-    return c.filter(which).select(F.col("id").alias("query_id"), "shop_id", F.concat_ws(" ", "name", F.lit("strip")).alias("name"))
+    return c.select(F.col("id").alias("query_id"), "shop_id", F.concat_ws(" ", "name", F.lit("strip")).alias("name"))
 
 
-_TOPK = f"""WITH {A.CATALOG}, q AS (SELECT id AS query_id, shop_id, list_distinct(string_split(normalized_name, ' ')) AS x FROM catalog WHERE id % 10 = 0),
+_TOPK = f"""WITH {A.CATALOG}, q AS (SELECT id AS query_id, shop_id, list_distinct(string_split(normalized_name, ' ')) AS x FROM catalog),
 s AS (SELECT query_id, c.id, {_JACCARD} AS score FROM q JOIN (SELECT id, shop_id, list_distinct(string_split(normalized_name, ' ')) AS y FROM catalog) c USING (shop_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM s WHERE score >= 40)
 SELECT query_id, rank, id, round_even(score, 1) AS score FROM r WHERE rank <= 3"""
@@ -395,12 +377,6 @@ SELECT query_id, rank, id, round_even(score, 1) AS score FROM r WHERE rank <= 3"
 
 @query(_TOPK)
 def jaccard_topk(spark, sf_dir):
-    """One in ten of the names, as its SQL says; jaccard_topk_all has all."""
-    return matching.match_names(_queries(spark, sf_dir, "id % 10 = 0"), A.catalog(spark, sf_dir), scorer="jaccard").select("query_id", "rank", "id", "score")
-
-
-@query(_TOPK.replace(" WHERE id % 10 = 0", ""))
-def jaccard_topk_all(spark, sf_dir):
     return matching.match_names(_queries(spark, sf_dir), A.catalog(spark, sf_dir), scorer="jaccard").select("query_id", "rank", "id", "score")
 
 
@@ -410,26 +386,16 @@ def token_set_topk(spark, sf_dir):
 
 
 _ALTERNATIVES = f"""WITH {A.CATALOG}, m AS (SELECT *, CASE WHEN coalesce(composition, '') <> '' THEN {A.sql_normalize('composition')} ELSE {A.sql_molecule('name')} END AS mol FROM catalog),
-q AS (SELECT id AS query_id, shop_id, mol, list_distinct(string_split(mol, ' ')) AS x FROM m WHERE id % 10 = 0 AND mol <> ''),
+q AS (SELECT id AS query_id, shop_id, mol, list_distinct(string_split(mol, ' ')) AS x FROM m WHERE mol <> ''),
 s AS (SELECT query_id, c.id, c.stock, {_JACCARD} AS raw FROM q JOIN (SELECT id, shop_id, coalesce(stock_qty, 0) AS stock, list_distinct(string_split(mol, ' ')) AS y FROM m) c ON q.shop_id = c.shop_id AND list_contains(c.y, string_split(q.mol, ' ')[1])),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round_even(raw, 1) DESC, stock DESC, id)::INT AS rank FROM s WHERE raw >= 75)
 SELECT query_id, rank, id, round_even(raw, 1) AS score FROM r WHERE rank <= 5"""
 
 
-def _alternatives(spark, sf_dir, which: str = "true"):
-    c = A.catalog(spark, sf_dir)
-    return matching.alternatives(c.filter(which).select(F.col("id").alias("query_id"), "shop_id", "name", "composition"), c, scorer="jaccard")
-
-
 @query(_ALTERNATIVES)
 def alternatives(spark, sf_dir):
-    """For one in ten of the items, as its SQL says; alternatives_all has all."""
-    return _alternatives(spark, sf_dir, "id % 10 = 0")
-
-
-@query(_ALTERNATIVES.replace("WHERE id % 10 = 0 AND", "WHERE"))
-def alternatives_all(spark, sf_dir):
-    return _alternatives(spark, sf_dir)
+    c = A.catalog(spark, sf_dir)
+    return matching.alternatives(c.select(F.col("id").alias("query_id"), "shop_id", "name", "composition"), c, scorer="jaccard")
 
 
 @query()
@@ -437,25 +403,20 @@ def alternatives_for_names(spark, sf_dir):
     return matching.alternatives_for(_queries(spark, sf_dir), A.catalog(spark, sf_dir))
 
 
-def _items(spark, sf_dir, which: str = "true"):
+def _items(spark, sf_dir):
     flat = nested.flatten_rows(A.invoices(spark, sf_dir), "invoice")
     part = A.table(spark, sf_dir, "part").select(F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("description"), F.concat_ws(" ", "p_name", F.concat(F.col("p_size").cast("string"), F.lit("mg"))).alias("name"))
-    return flat.filter(which).join(part, "description").select("document_id", "item_no", (F.col("document_id") % 7).alias("shop_id"), "name")
+    return flat.join(part, "description").select("document_id", "item_no", (F.col("document_id") % 7).alias("shop_id"), "name")
 
 
-_MATCHED = f"""WITH {A.INVOICES}, {A.CATALOG}, q AS (SELECT document_id, item_no, document_id % 7 AS shop_id, list_distinct(string_split({A.sql_normalize("p_name || ' ' || p_size || 'mg'")}, ' ')) AS x FROM items JOIN part ON description = 'part ' || p_partkey WHERE document_id % 50 = 0),
-s AS (SELECT document_id, item_no, max({_JACCARD}) AS best FROM q JOIN (SELECT shop_id, list_distinct(string_split(normalized_name, ' ')) AS y FROM catalog) c USING (shop_id) GROUP BY 1, 2)
-SELECT document_id, count(*) FILTER (round_even(best, 1) >= 70)::BIGINT AS matched, count(*)::BIGINT AS total FROM s GROUP BY 1"""
+_MATCHED = f"""WITH {A.INVOICES}, {A.CATALOG}, i AS (SELECT document_id, item_no, document_id % 7 AS shop_id, {A.sql_normalize("p_name || ' ' || p_size || 'mg'")} AS name FROM items JOIN part ON description = 'part ' || p_partkey),
+q AS (SELECT DISTINCT shop_id, name, list_distinct(string_split(name, ' ')) AS x FROM i),
+s AS (SELECT q.shop_id, name, max({_JACCARD}) AS best FROM q JOIN (SELECT shop_id, list_distinct(string_split(normalized_name, ' ')) AS y FROM catalog) c USING (shop_id) GROUP BY 1, 2)
+SELECT document_id, count(*) FILTER (round_even(best, 1) >= 70)::BIGINT AS matched, count(*)::BIGINT AS total FROM i JOIN s USING (shop_id, name) GROUP BY 1"""
 
 
 @query(_MATCHED)
 def match_documents(spark, sf_dir):
-    """One in fifty of the documents, as its SQL says; match_documents_all has all."""
-    return matching.match_items(_items(spark, sf_dir, "document_id % 50 = 0"), A.catalog(spark, sf_dir), "jaccard")[1]
-
-
-@query(_MATCHED.replace(" WHERE document_id % 50 = 0", ""))
-def match_documents_all(spark, sf_dir):
     return matching.match_items(_items(spark, sf_dir), A.catalog(spark, sf_dir), "jaccard")[1]
 
 

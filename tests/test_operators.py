@@ -52,9 +52,14 @@ def test_xml_reads_back(spark):
 
 
 def test_files(spark, tmp_path):
-    export.write_files(export.render(invoice(spark), "invoice", {"format": "json"}), str(tmp_path / "out"))
-    f = next((tmp_path / "out" / "extension=json" / "document_id=d1").glob("part-*"))
-    assert len(json.loads(f.read_text())) == 2
+    out = tmp_path / "out"
+    d = invoice(spark)
+    export.write_files(export.render(d.filter("document_id = 'd1'"), "invoice", {"format": "json"}), str(out))
+    export.write_files(export.render(d.filter("document_id = 'd2'"), "invoice", {"format": "json"}), str(out))
+    for _ in range(2):
+        f = list((out / "document_id=d1" / "extension=json").glob("part-*"))
+        assert len(f) == 1 and len(json.loads(f[0].read_text())) == 2 and (out / "document_id=d2").exists()
+        export.write_files(export.render(d.filter("document_id = 'd1'"), "invoice", {"format": "json"}), str(out))
 
 
 def test_walk_flags_and_paths(spark):

@@ -14,10 +14,10 @@ SF = "/root/testdata/sf0.001"
 
 def test_push_plan_has_all_orders(spark):
     orders = spark.read.parquet(f"{SF}/orders.parquet").count()
-    plan = QUERIES["push_plan_all"](spark, SF).collect()
+    plan = QUERIES["push_plan"](spark, SF).collect()
     assert len(plan) == 2 * orders and len({r["document_id"] for r in plan}) == orders
     new = sum(r["action"] == "insert" for r in plan)
-    assert QUERIES["push_upsert_all"](spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count() + new
+    assert QUERIES["push_upsert"](spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count() + new
 
 
 def test_matching_takes_all_names_and_items(spark):
@@ -49,5 +49,5 @@ def test_matching_takes_all_names_and_items(spark):
             want[r["l_orderkey"], name, i if -s >= 70 else None] += 1
     got = QUERIES["link_items"](spark, SF).collect()
     assert Counter((r["document_id"], r["name"], r["match_id"]) for r in got) == want
-    totals = {r["document_id"]: r["total"] for r in QUERIES["match_documents_all"](spark, SF).collect()}
+    totals = {r["document_id"]: r["total"] for r in QUERIES["match_documents"](spark, SF).collect()}
     assert totals == Counter(r["document_id"] for r in got)
