@@ -40,9 +40,14 @@ def match_names(queries: DataFrame, catalog: DataFrame, limit: int = 3, min_scor
 PARTS = 32
 
 
+def _spread(df: DataFrame, *by: str) -> DataFrame:
+    """Dealt to as many tasks as the session shuffles to, however small: a few rows here make very many pairs."""
+    return df.repartition(max(PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
 def _all_pairs(asked: DataFrame, names: DataFrame) -> DataFrame:
     """(shop_id, q), (shop_id, n) -> their pairs by shop; a shop's catalog is dealt to ``PARTS`` tasks."""
-    dealt = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    dealt = _spread(asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), "shop_id", "part")
     return dealt.join(names.withColumn("part", F.pmod(F.hash("n"), F.lit(PARTS))), ["shop_id", "part"]).drop("part")
 
 
@@ -57,7 +62,7 @@ def _sharing(asked: DataFrame, names: DataFrame, min_score: float) -> DataFrame:
         needed = F.ceil(F.size("t") * F.lit(min_score / 100) - 1e-9)
         return ranked.select("shop_id", name, F.explode(F.slice(F.col("t.token"), F.lit(1), (F.size("t") - needed + 1).cast("int"))).alias("token"))
 
-    return prefix(asked, "q").join(prefix(names, "n"), ["shop_id", "token"]).select("shop_id", "q", "n").distinct()
+    return _spread(prefix(asked, "q"), "shop_id", "token").join(prefix(names, "n"), ["shop_id", "token"]).select("shop_id", "q", "n").distinct()
 
 
 def match_items(items: DataFrame, catalog: DataFrame, scorer: str = "token_set") -> tuple[DataFrame, DataFrame]:
