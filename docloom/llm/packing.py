@@ -55,20 +55,23 @@ _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{
 class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes, by a byte-level BPE file of the tokenizers library.
 
-    The pieces of a plain text are looked up in a table of pieces met before, filled from the same tokenizer.
+    The pieces of a plain text are looked up in a table of pieces met before, filled from the same tokenizer. A full table
+    becomes the older one, from which pieces that are met again come back; the rest goes when the next is full.
     """
 
-    def __init__(self, path: str, keep: int = 800_000) -> None:
+    def __init__(self, path: str, keep: int = 250_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.keep, self.seen = keep, {}
+        self.keep, self.seen, self.older = keep, {}, {}
 
     def _learn(self, pieces: list[str]) -> None:
         if len(self.seen) >= self.keep:
-            self.seen.clear()
-        new = [p for p in set(pieces) if p not in self.seen]
+            self.seen, self.older = {}, self.seen
+        missing = {p for p in pieces if p not in self.seen}
+        self.seen |= {p: self.older[p] for p in missing if p in self.older}
+        new = [p for p in missing if p not in self.seen]
         for piece, found in zip(new, self.whole.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.seen[piece] = np.array(found.ids, "<u4").tobytes()
 
