@@ -30,6 +30,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,8 @@ from .repeats import keyed, text_keys
 EXAMPLE_KEY = b"docloom example key"
 #: Entities (and their characters) beyond a first attempt that are sent to all tasks at most.
 FEW, FEW_CHARS = 20_000, 2_000_000
+#: Texts rewritten at a time.
+STEP = 500
 
 
 def key_of(spark: SparkSession) -> bytes:
@@ -219,12 +222,14 @@ def dressed(said: str, kind: str, new: str) -> str:
 def entities(texts: DataFrame) -> DataFrame:
     """(k1, k2, text) -> k1, k2, kind, entity: each once for a text."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = [(a, b, kind, e) for a, b, text in zip(frame["k1"], frame["k2"], frame["text"], strict=True) for kind, e in {(s[2], s[3]) for s in find(text or "")}]
-            yield pd.DataFrame(out, columns=["k1", "k2", "kind", "entity"])
+    names, kinds = ["k1", "k2", "kind", "entity"], [pa.int64(), pa.int64(), pa.string(), pa.string()]
 
-    return texts.select("k1", "k2", "text").mapInPandas(run, "k1 long, k2 long, kind string, entity string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(x, y, *e) for x, y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True) for e in {(s[2], s[3]) for s in find(t.as_py() or "")}]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
+
+    return texts.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, kind string, entity string")
 
 
 def attempts(found: DataFrame, key: bytes, most: int = 50) -> DataFrame:
@@ -259,10 +264,10 @@ def replace(docs: DataFrame, key: bytes, count_as: str | None = "n_entities") ->
     few = n <= FEW and chars <= FEW_CHARS
     everywhere = {(r["kind"], r["entity"]): r["attempt"] for r in moved.collect()} if few else {}
 
-    @F.pandas_udf("text string, n long")
-    def rewrite(text: pd.Series, special: pd.Series) -> pd.DataFrame:
+    def some(text: pa.Array, special: pa.Array) -> pa.Array:
         out, counts = [], []
         for t, s in zip(text, special, strict=True):
+            t, s = t.as_py(), s.as_py()
             spans = find(t) if t else []
             tries = {(x["kind"], x["entity"]): x["attempt"] for x in s} if s is not None else everywhere
             parts, last = [], 0
@@ -271,7 +276,12 @@ def replace(docs: DataFrame, key: bytes, count_as: str | None = "n_entities") ->
                 last = b
             out.append("".join([*parts, t[last:]]) if spans else t)
             counts.append(len(spans))
-        return pd.DataFrame({"text": pd.Series(out, dtype=object), "n": pd.Series(counts, dtype="int64")})
+        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(counts, pa.int64())], ["text", "n"])
+
+    @F.arrow_udf("text string, n long")
+    def rewrite(text: pa.Array, special: pa.Array) -> pa.Array:
+        # Few texts at a time are Python strings.
+        return pa.concat_arrays([some(text.slice(k, STEP), special.slice(k, STEP)) for k in range(0, max(1, len(text)), STEP)])
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
     if few:
