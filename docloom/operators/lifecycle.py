@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.values import idempotency_key
+from . import nested
 
 #: From which state a document may go to which.
 ALLOWED = {
@@ -104,15 +106,56 @@ def pending_for(deliveries: DataFrame, connector_id, limit: int = 50) -> DataFra
     return deliveries.filter((F.col("connector_id") == connector_id) & (F.col("status") == "pending")).orderBy("created_at", "id").limit(limit)
 
 
-def correct(docs: DataFrame, corrections: DataFrame) -> DataFrame:
-    """Documents whose data is corrected (id, data) go back to review; confidence and meta stay."""
-    new = corrections.select("id", F.col("data").alias("new_data"))
-    out = docs.join(new, "id", "left")
-    hit = F.col("new_data").isNotNull()
-    return out.withColumns({"data": F.coalesce("new_data", "data"), "status": F.when(hit, "needs_review").otherwise(F.col("status"))}).drop("new_data")
-
-
-def approve(docs: DataFrame, linked: DataFrame) -> DataFrame:
-    """Documents under review are approved; linked (id, inventory_linked) counts their matched items and is kept if above 0."""
-    out = docs.join(linked.filter("inventory_linked > 0"), "id", "left")
-    return out.withColumn("status", F.when(F.col("status") == "needs_review", "approved").otherwise(F.col("status")))
+#: States in which a document's data may be corrected, and in which it may be pushed.
+CORRECTABLE, PUSHABLE = ["needs_review", "approved", "pushed"], ["approved", "pushed"]
+
+
+def _asked(docs: DataFrame, asked: DataFrame, allowed: Column) -> tuple[DataFrame, DataFrame]:
+    """docs with ``hit`` (asked for and allowed), and the refused: id, reason ``not found`` or the state it is in."""
+    ids = asked.select("id").filter("id IS NOT NULL").distinct()
+    states = docs.select("id", "status", F.coalesce(allowed, F.lit(False)).alias("allowed"))
+    told = ids.join(states, "id", "left").filter(~F.coalesce("allowed", F.lit(False)))
+    reason = F.when(F.col("allowed").isNull(), "not found").otherwise(F.concat(F.lit("state "), F.coalesce("status", F.lit("unknown"))))
+    hits = docs.join(ids.withColumn("hit", F.lit(True)), "id", "left").withColumn("hit", F.coalesce(F.col("hit") & allowed, F.lit(False)))
+    return hits, told.select("id", reason.alias("reason"))
+
+
+def correct(docs: DataFrame, corrections: DataFrame, doc_type: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """corrections (id, data) -> all documents after them, and the refused (id, reason).
+
+    Documents under review, approved or pushed take the new data and go back to review; confidence and meta stay. Other
+    states, unknown ids and corrections without data (what doesn't fit the schema reads as null) are refused. Of several
+    corrections of a document one is taken. With a doc_type, all data get their typed companions.
+    """
+    valid, new = corrections.filter("data IS NOT NULL"), "new_data"
+    given = valid.groupBy("id").agg(F.max_by("data", F.to_json("data") if isinstance(valid.schema["data"].dataType, T.StructType) else F.col("data")).alias(new))
+    hits, refused = _asked(docs, given, F.col("status").isin(CORRECTABLE))
+    out = hits.join(given, "id", "left")
+    data = F.when(F.col("hit"), F.col(new)).otherwise(F.col("data"))
+    out = out.withColumns({"data": nested.postprocess(data, doc_type) if doc_type else data, "status": F.when(F.col("hit"), "needs_review").otherwise(F.col("status"))}).drop(new, "hit")
+    empty = corrections.filter("data IS NULL AND id IS NOT NULL").select("id").distinct().join(given.select("id"), "id", "left_anti")
+    return out, refused.unionByName(empty.select("id", F.lit("no valid data").alias("reason")))
+
+
+def approve(docs: DataFrame, asked: DataFrame, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """asked (id) -> all documents after approval, and the refused (id, reason): only documents under review may be approved.
+
+    links: what ``matching.link_items`` says of the documents' items. Documents that are approved by this get
+    ``inventory_linked``, the number of their items with a match, where that is above 0.
+    """
+    hits, refused = _asked(docs, asked, F.col("status") == "needs_review")
+    linked = F.lit(None).cast("long")
+    if links is not None:
+        n = links.groupBy(F.col("document_id").alias("id")).agg(F.nullif(F.count("inventory_match"), F.lit(0)).alias("n_linked"))
+        hits, linked = hits.join(n, "id", "left"), F.when(F.col("hit"), F.col("n_linked"))
+    out = hits.withColumns({"status": F.when(F.col("hit"), "approved").otherwise(F.col("status")), "inventory_linked": linked})
+    return out.drop("hit", "n_linked"), refused
+
+
+def pushable(docs: DataFrame, connectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs (id, shop_id, status) -> those that may be pushed, and the refused (id, reason): not approved, or a shop without an enabled connector."""
+    shops = connectors.filter("enabled").select("shop_id").distinct()
+    approved = F.coalesce(F.col("status").isin(PUSHABLE), F.lit(False))
+    lacking = docs.filter(approved).join(shops, "shop_id", "left_anti").select("id", F.lit("no connector").alias("reason"))
+    refused = docs.filter(~approved).select("id", F.concat(F.lit("state "), F.coalesce("status", F.lit("unknown"))).alias("reason"))
+    return docs.filter(approved).join(shops, "shop_id", "left_semi"), refused.unionByName(lacking)

@@ -61,13 +61,44 @@ def value_parse(spark, sf_dir):
     return r.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", V.quantity(F.col("said")).alias("quantity"), s["amount"].alias("amount"), s["unit"].alias("unit"), V.plain_number(F.replace("said", F.lit("."), F.lit(","))).alias("plain"))
 
 
-@query("""
-SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS day_first, o_orderdate::DATE::VARCHAR AS iso, date_trunc('month', o_orderdate)::DATE::VARCHAR AS month_year, NULL::VARCHAR AS nothing FROM orders""")
+#: Forms of a date and how strftime writes them; those from month_name on have no day.
+_FORMS = {
+    "day_first": ("dd/MM/yyyy", "%d/%m/%Y"), "iso": ("yyyy-MM-dd", "%Y-%m-%d"), "dashes": ("d-M-yyyy", "%-d-%-m-%Y"), "dots": ("dd.MM.yyyy", "%d.%m.%Y"),
+    "short_year": ("dd/MM/yy", "%d/%m/%y"), "short_dashes": ("dd-MM-yy", "%d-%m-%y"), "named": ("d MMM yyyy", "%-d %b %Y"), "named_dashes": ("dd-MMM-yyyy", "%d-%b-%Y"),
+    "month_name": ("MMM yyyy", "%b %Y"), "month_short": ("MMM-yy", "%b-%y"), "month_year": ("MM/yyyy", "%m/%Y"), "month_dashes": ("MM-yyyy", "%m-%Y"), "month_slash": ("MM/yy", "%m/%y"),
+}
+_WITH_DAY = list(_FORMS)[: list(_FORMS).index("month_name")]
+# A year of two digits is of this century.
+_YEAR = "o_orderdate + CASE WHEN year(o_orderdate) < 2000 THEN INTERVAL 100 YEAR ELSE INTERVAL 0 YEAR END"
+
+
+def _sql_date(name: str) -> str:
+    day = f"({_YEAR if 'yyyy' not in _FORMS[name][0] else 'o_orderdate'})"
+    return f"{day}::DATE::VARCHAR" if name in _WITH_DAY else f"date_trunc('month', {day})::DATE::VARCHAR"
+
+
+@query(f"SELECT o_orderkey, {', '.join(f'{_sql_date(n)} AS {n}' for n in _FORMS)}, NULL::VARCHAR AS nothing FROM orders")
 def date_parse(spark, sf_dir):
-    o = A.table(spark, sf_dir, "orders")
-    text = lambda form: F.date_format("o_orderdate", form)
     said = lambda x: V.date(x).cast("string")
-    return o.select("o_orderkey", said(F.concat(F.lit("dt. "), text("dd/MM/yyyy"))).alias("day_first"), said(text("yyyy-MM-dd")).alias("iso"), said(text("MM/yyyy")).alias("month_year"), said(F.lit("soon")).alias("nothing"))
+    each = [said(F.concat(F.lit("dt. "), F.date_format("o_orderdate", form))).alias(n) for n, (form, _) in _FORMS.items()]
+    return A.table(spark, sf_dir, "orders").select("o_orderkey", *each, said(F.lit("soon")).alias("nothing"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN contains(upper(substr(repeat(' ', (o_orderkey % 70)::INT) || 'Tax Invoice ' || o_orderkey, 1, 64)), 'INVOICE') THEN 'invoice' ELSE 'prescription' END AS doc_type FROM orders""")
+def classified(spark, sf_dir):
+    content = F.concat(F.repeat(F.lit(" "), (F.col("o_orderkey") % 70).cast("int")), F.lit("Tax Invoice "), F.col("o_orderkey").cast("string"))
+    return A.table(spark, sf_dir, "orders").select("o_orderkey", V.doc_type_of(F.encode(content, "utf-8")).alias("doc_type"))
+
+
+_FAILURE = "[429, 404, NULL, 503, 200][event_id % 5 + 1]", "['Rate Limit hit', 'not there', NULL, 'DEADLINE passed', 'wrong key', 'error 500'][event_id % 6 + 1]"
+
+
+@query(f"""WITH e AS (SELECT event_id, {_FAILURE[0]} AS code, lower({_FAILURE[1]}) AS said FROM events)
+SELECT event_id, coalesce(code IN (429, 503), false) OR coalesce(said IN ('rate limit hit', 'deadline passed', 'error 500'), false) AS transient FROM e""")
+def transient_errors(spark, sf_dir):
+    pick = lambda n, *values: F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % n + 1).cast("int"))
+    said = pick(6, "Rate Limit hit", "not there", None, "DEADLINE passed", "wrong key", "error 500")
+    return A.table(spark, sf_dir, "events").select("event_id", V.is_transient(pick(5, 429, 404, None, 503, 200), said).alias("transient"))
 
 
 @query("""
@@ -81,7 +112,16 @@ def confidence_buckets(spark, sf_dir):
     return A.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.coalesce(V.confidence_percent(c), F.lit(-1)).cast("long").alias("percent"), V.bucket_at_least(c).alias("bucket_at_least"), V.bucket_above(c).alias("bucket_above"), V.match_badge(c * 100).alias("badge"))
 
 
-@query()
+def _sql_hmac(body: str, secret: str) -> str:
+    """HMAC-SHA256 of an SQL text, from the two keyed hashes that define it."""
+    inner, outer = (bytes(b ^ pad for b in secret.encode().ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+    return f"'sha256=' || sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({body}))))"
+
+
+_BODY = """'{"id":' || id || ',"status":"' || status || '"}'"""
+
+
+@query(f"WITH {A.DOCUMENTS} SELECT id, {_sql_hmac(_BODY, 'secret')} AS signature FROM docs")
 def payload_signatures(spark, sf_dir):
     d = A.documents(spark, sf_dir)
     return d.select("id", V.signature(F.to_json(F.struct("id", "status")), "secret").alias("signature"))
@@ -105,6 +145,19 @@ def client_search(spark, sf_dir):
     return A.documents(spark, sf_dir).filter(mentions("77", "id", "doc_type", "status")).select("id", "doc_type", "status")
 
 
+@query(f"WITH {A.DOCUMENTS} SELECT id, doc_type AS owner, status FROM docs WHERE id = 77")
+def owned_document(spark, sf_dir):
+    """Two owners ask for one row: who has it gets it, the other nothing."""
+    d = A.documents(spark, sf_dir)
+    ask = lambda owner: TenantScope(owner, "doc_type").one(d, "id", 77).select("id", F.col("doc_type").alias("owner"), "status")
+    return ask("invoice").unionByName(ask("prescription"))
+
+
+@query(f"WITH {A.INVOICES} SELECT document_id, item_no, description FROM items WHERE contains(lower(description), 'rt 17')")
+def item_search(spark, sf_dir):
+    return nested.flatten_rows(A.invoices(spark, sf_dir), "invoice").filter(mentions("RT 17", "description")).select("document_id", "item_no", "description")
+
+
 @query("""SELECT event_id AS id, true AS has_secret FROM events WHERE event_id % 3 = 0 AND 'K' || (event_id % 10) = 'K6' AND event_id % 4 <> 1""")
 def pairing(spark, sf_dir):
     e = A.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.to_json(F.struct(F.concat(F.lit("k"), (F.col("event_id") % 10).cast("string")).alias("pairing_code"), (F.col("event_id") % 4 == 1).alias("paired"))).alias("config"), F.when(F.col("event_id") % 3 == 0, "s").alias("secret_ref"))
@@ -268,6 +321,42 @@ def recover_stuck(spark, sf_dir):
     return lifecycle.recover_stuck(A.documents(spark, sf_dir)).select("id", "status", "progress", "error")
 
 
+@query(f"WITH {A.DOCUMENTS} SELECT id, CASE WHEN id % 2 = 0 AND status IN ('failed', 'needs_review') THEN 'queued' ELSE status END AS status, CASE WHEN NOT (id % 2 = 0 AND status IN ('failed', 'needs_review')) THEN error END AS error FROM docs")
+def retried(spark, sf_dir):
+    return lifecycle.retry(A.documents(spark, sf_dir), F.col("id") % 2 == 0).select("id", "status", "error")
+
+
+_CORRECTED = f"WITH {A.DOCUMENTS}, hits AS (SELECT *, id % 3 = 0 AND status IN ('needs_review', 'approved', 'pushed') AS hit FROM docs)"
+
+
+def _correct(spark, sf_dir):
+    """Every third document is corrected, every ninth without data, and one that isn't there."""
+    d = A.documents(spark, sf_dir).withColumn("data", F.lit("read"))
+    new = d.filter("id % 3 = 0").select("id", F.lit("corrected").alias("data"))
+    new = new.unionByName(d.filter("id % 9 = 1").select("id", F.lit(None).cast("string").alias("data"))).unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.lit("x").alias("data")))
+    return lifecycle.correct(d, new)
+
+
+@query(_CORRECTED + " SELECT id, CASE WHEN hit THEN 'needs_review' ELSE status END AS status, CASE WHEN hit THEN 'corrected' ELSE 'read' END AS data FROM hits")
+def corrected_documents(spark, sf_dir):
+    return _correct(spark, sf_dir)[0].select("id", "status", "data")
+
+
+@query(_CORRECTED + " SELECT id, 'state ' || status AS reason FROM hits WHERE id % 3 = 0 AND NOT hit UNION ALL SELECT id, 'no valid data' FROM docs WHERE id % 9 = 1 UNION ALL SELECT -1, 'not found'")
+def refused_corrections(spark, sf_dir):
+    return _correct(spark, sf_dir)[1]
+
+
+_CONNECTED = "shop_id % 3 <> 0 AND shop_id % 5 <> 0"
+
+
+@query(f"""WITH {A.DOCUMENTS} SELECT id, CASE WHEN status NOT IN ('approved', 'pushed') THEN 'state ' || status WHEN NOT ({_CONNECTED}) THEN 'no connector' END AS reason FROM docs""")
+def push_refusals(spark, sf_dir):
+    shops = spark.range(50).select(F.col("id").alias("shop_id"), (F.col("id") % 5 != 0).alias("enabled")).filter("shop_id % 3 <> 0")
+    ready, refused = lifecycle.pushable(A.documents(spark, sf_dir), shops)
+    return refused.unionByName(ready.select("id", F.lit(None).cast("string").alias("reason")))
+
+
 _STATES = "['queued', 'processing', 'needs_review', 'approved', 'pushed', 'failed']"
 _MOVES = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, to in lifecycle.ALLOWED.items() for b in to) + ") t(a, b)"
 
@@ -425,6 +514,28 @@ def link_items(spark, sf_dir):
     return matching.link_items(_items(spark, sf_dir), A.catalog(spark, sf_dir)).select("document_id", "item_no", "name", F.col("inventory_match.id").alias("match_id"), F.col("inventory_match.score").alias("score"))
 
 
+_APPROVED = f"""WITH {A.DOCUMENTS}, {A.INVOICES}, {A.CATALOG}, i AS (SELECT document_id, document_id % 7 AS shop_id, {A.sql_normalize("p_name || ' ' || p_size || 'mg'")} AS name FROM items JOIN part ON description = 'part ' || p_partkey),
+q AS (SELECT DISTINCT shop_id, name, list_distinct(string_split(name, ' ')) AS x FROM i),
+s AS (SELECT q.shop_id, name, max({_JACCARD}) AS best FROM q JOIN (SELECT shop_id, list_distinct(string_split(normalized_name, ' ')) AS y FROM catalog) c USING (shop_id) GROUP BY 1, 2),
+n AS (SELECT document_id, count(*) FILTER (best >= 70)::BIGINT AS linked FROM i JOIN s USING (shop_id, name) GROUP BY 1)
+SELECT id, CASE status WHEN 'needs_review' THEN 'approved' ELSE status END AS status, CASE WHEN status = 'needs_review' THEN nullif(linked, 0) END AS inventory_linked FROM docs LEFT JOIN n ON id = document_id"""
+
+
+@query(_APPROVED)
+def approved_documents(spark, sf_dir):
+    """All documents are to be approved; those under review are, and their items are linked to the catalog."""
+    d = A.documents(spark, sf_dir)
+    review = d.filter("status = 'needs_review'").select(F.col("id").alias("document_id"))
+    links = matching.link_items(_items(spark, sf_dir).join(review, "document_id", "left_semi"), A.catalog(spark, sf_dir), scorer="jaccard")
+    return lifecycle.approve(d, d.select("id"), links)[0].select("id", "status", "inventory_linked")
+
+
+@query(f"WITH {A.DOCUMENTS} SELECT id, 'state ' || status AS reason FROM docs WHERE status <> 'needs_review'")
+def refused_approvals(spark, sf_dir):
+    d = A.documents(spark, sf_dir)
+    return lifecycle.approve(d, d.select("id"))[1]
+
+
 # ---- exports
 
 
@@ -434,12 +545,27 @@ def export_csv(spark, sf_dir):
     return export.render(A.invoices(spark, sf_dir), "invoice", {"format": "csv", "profile": "tally", "delimiter": ";"})
 
 
-@query()
+def _sql_json_fields() -> str:
+    return ", ".join(f"""'  "{h}" : "' || {f} || '"'""" for h, f in nested.PROFILES["generic"]["invoice"].items())
+
+
+@query(_FLAT + f""" SELECT document_id, 'json' AS extension, '[ {{' || chr(10) || string_agg(concat_ws(',' || chr(10), {_sql_json_fields()}), chr(10) || '}}, {{' || chr(10) ORDER BY item_no) || chr(10) || '}} ]' AS content FROM flat GROUP BY document_id
+UNION ALL SELECT document_id, 'json', '[]' FROM heads WHERE document_id NOT IN (SELECT document_id FROM items)""")
 def export_json(spark, sf_dir):
     return export.render(A.invoices(spark, sf_dir), "invoice", {"format": "json"})
 
 
-@query()
+#: The voucher as its readers want it; @LF@ is a line feed.
+_VOUCHER = "@LF@".join([
+    "<ENVELOPE>", "  <HEADER><TALLYREQUEST>Import Data</TALLYREQUEST></HEADER>", "  <BODY><IMPORTDATA>", "    <REQUESTDESC><REPORTNAME>Vouchers</REPORTNAME></REQUESTDESC>", "    <REQUESTDATA>",
+    "      <TALLYMESSAGE>", '        <VOUCHER VCHTYPE="Purchase" ACTION="Create">', "          <PARTYLEDGERNAME>@PARTY@</PARTYLEDGERNAME>", "          <VOUCHERTYPENAME>Purchase</VOUCHERTYPENAME>",
+    "          <REFERENCE>@NO@</REFERENCE>", "          <PURCHASELEDGER>Purchase</PURCHASELEDGER>", "@ENTRIES@", "        </VOUCHER>", "      </TALLYMESSAGE>", "    </REQUESTDATA>", "  </IMPORTDATA></BODY>", "</ENVELOPE>",
+])
+_SQL_ENTRY = "'      <ALLINVENTORYENTRIES.LIST>' || " + " || ".join(f"chr(10) || '        <{t}>' || {v} || '</{t}>'" for t, v in {"STOCKITEMNAME": "description", "ACTUALQTY": "quantity", "BILLEDQTY": "quantity", "RATE": "'0'", "AMOUNT": "amount"}.items()) + " || chr(10) || '      </ALLINVENTORYENTRIES.LIST>'"
+
+
+@query(f"""WITH {A.INVOICES}, lists AS (SELECT document_id, string_agg({_SQL_ENTRY}, chr(10) ORDER BY item_no) AS entries FROM items GROUP BY document_id)
+SELECT document_id, 'xml' AS extension, replace(replace(replace(replace('@TEXT@', '@LF@', chr(10)), '@PARTY@', supplier), '@NO@', invoice_no), '@ENTRIES@', coalesce(entries, '')) AS content FROM heads LEFT JOIN lists USING (document_id)""".replace("@TEXT@", _VOUCHER))
 def export_xml(spark, sf_dir):
     return export.render(A.invoices(spark, sf_dir), "invoice", {"format": "tally_xml"})
 
@@ -456,7 +582,21 @@ def stream_counts(spark, sf_dir):
     return _drained(spark, counts, "complete")
 
 
-@query()
+@query("""SELECT user_id AS device, count(*) FILTER (event_type <> 'purchase')::BIGINT AS pending FROM events GROUP BY user_id""")
+def queue_pending(spark, sf_dir):
+    status = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "error").otherwise("queued")
+    return queue.pending_count(A.table(spark, sf_dir, "events").select(F.col("user_id").alias("device"), status.alias("status")))
+
+
+# An item is what its last event after its first enqueueing made of it; its attempts are the errors since its last retry.
+@query(f"""WITH e AS (SELECT user_id AS device, event_id % 50 AS id, event_type AS said, epoch_ms(ts) AS at_ms FROM events),
+clock AS (SELECT device, max(at_ms) AS now FROM e GROUP BY device),
+born AS (SELECT device, id, min(at_ms) AS created FROM e WHERE said IN ('signup', 'view') GROUP BY ALL),
+later AS (SELECT device, id, created, said, at_ms, max(at_ms) FILTER (said = 'click') OVER (PARTITION BY device, id) AS retried FROM e JOIN born USING (device, id) WHERE at_ms >= created AND said NOT IN ('signup', 'view')),
+fate AS (SELECT device, id, arg_max(said, at_ms) AS last, count(*) FILTER (said = 'error' AND at_ms > coalesce(retried, 0)) AS attempts FROM later GROUP BY ALL),
+items AS (SELECT device, id, created, coalesce(last, 'click') AS last, coalesce(attempts, 0) AS attempts, coalesce(last, 'click') <> 'purchase' OR now - created < {queue.TTL_MS} AS kept FROM born LEFT JOIN fate USING (device, id) JOIN clock USING (device))
+SELECT device, count(id) FILTER (kept AND last <> 'purchase')::BIGINT AS pending, arg_min(id, created * 64 + id) FILTER (kept AND (last = 'click' OR last = 'error' AND attempts < {queue.MAX_ATTEMPTS})) AS next_id,
+  count(id) FILTER (NOT kept)::BIGINT AS dropped FROM clock LEFT JOIN items USING (device) GROUP BY device""")
 def stream_queue(spark, sf_dir):
     schema = A.table(spark, sf_dir, "events").schema
     s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)

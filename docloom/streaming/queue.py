@@ -31,10 +31,16 @@ def prune(items: DataFrame, now_ms: int, ttl_ms: int = TTL_MS) -> DataFrame:
     return items.filter((F.col("status") != "done") | (F.lit(now_ms) - F.col("created_ms") < ttl_ms))
 
 
+def retry_all(items: DataFrame) -> DataFrame:
+    """Every item in error is queued again; attempts stay."""
+    return items.withColumn("status", F.when(F.col("status") == "error", "queued").otherwise(F.col("status")))
+
+
 def fold(events: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
     """A stream of (device, id, action, at_ms) -> for each device and batch: pending, next_id, dropped.
 
-    Actions: enqueue, done, error (one more attempt), remove, retry (attempts from 0). Items that are done go after
+    Actions: enqueue, done, error (one more attempt), remove, retry (attempts from 0), retry_all (whatever its
+    id: all items in error are queued again, attempts stay). Items that are done go after
     their time to live, by the latest event's clock. State is one small list a device.
     """
 
@@ -46,6 +52,9 @@ def fold(events: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
             now = max(now, int(at))
             if action == "enqueue":
                 items.setdefault(int(id_), [int(id_), "queued", 0, int(at)])
+            elif action == "retry_all":
+                for item in items.values():
+                    item[1] = "queued" if item[1] == "error" else item[1]
             elif int(id_) in items:
                 if action == "remove":
                     del items[int(id_)]

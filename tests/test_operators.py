@@ -150,11 +150,41 @@ def test_all_ok_of_nothing(spark):
 
 
 def test_corrections_and_approval(spark):
-    d = spark.createDataFrame([(1, "approved", "a"), (2, "needs_review", "b")], "id int, status string, data string")
-    new = lifecycle.correct(d, spark.createDataFrame([(1, "c")], "id int, data string"))
-    assert sorted(map(tuple, new.select("id", "status", "data").collect())) == [(1, "needs_review", "c"), (2, "needs_review", "b")]
-    ok = lifecycle.approve(new, spark.createDataFrame([(1, 2), (2, 0)], "id int, inventory_linked int"))
-    assert sorted(map(tuple, ok.select("id", "status", "inventory_linked").collect())) == [(1, "approved", 2), (2, "approved", None)]
+    d = spark.createDataFrame([(1, "approved", "a"), (2, "needs_review", "b"), (3, "queued", "c"), (4, None, "d"), (None, "approved", "e")], "id int, status string, data string")
+    new, refused = lifecycle.correct(d, spark.createDataFrame([(1, "c"), (1, "b"), (2, None), (3, "x"), (4, "x"), (9, "x"), (None, "x")], "id int, data string"))
+    assert {tuple(r) for r in new.select("id", "status", "data").collect()} == {(1, "needs_review", "c"), (2, "needs_review", "b"), (3, "queued", "c"), (4, None, "d"), (None, "approved", "e")}
+    assert dict(map(tuple, refused.collect())) == {2: "no valid data", 3: "state queued", 4: "state unknown", 9: "not found"}
+    links = spark.createDataFrame([(1, ("c1",)), (1, ("c2",)), (1, None), (2, None), (3, ("c1",))], "document_id int, inventory_match struct<id:string>")
+    ok, refused = lifecycle.approve(new, spark.createDataFrame([(1,), (1,), (2,), (3,), (9,)], "id int"), links)
+    assert {tuple(r) for r in ok.select("id", "status", "inventory_linked").collect()} == {(1, "approved", 2), (2, "approved", None), (3, "queued", None), (4, None, None), (None, "approved", None)}
+    assert dict(map(tuple, refused.collect())) == {3: "state queued", 9: "not found"}
+    assert lifecycle.approve(new, new.select("id"))[0].filter("status = 'approved'").count() == 3
+
+
+def test_corrected_data_gets_its_companions(spark):
+    d = invoice(spark).withColumnRenamed("document_id", "id").withColumn("status", F.lit("pushed"))
+    new = d.filter("id = 'd1'").withColumn("data", nested.set_path(F.col("data"), "line_items[0].quantity", F.lit("7 nos"))).select("id", "data")
+    out, refused = lifecycle.correct(d, new, "invoice")
+    got = {r["id"]: r for r in out.collect()}
+    assert got["d1"]["data"]["line_items"][0]["quantity"]["norm_num"] == 7.0 and got["d1"]["status"] == "needs_review" and got["d2"]["status"] == "pushed" and refused.count() == 0
+
+
+def test_push_needs_approval_and_a_connector(spark):
+    d = spark.createDataFrame([(1, "s", "approved"), (2, "t", "pushed"), (3, "u", "approved"), (4, "s", "queued"), (5, None, "approved"), (6, "s", None)], "id int, shop_id string, status string")
+    c = spark.createDataFrame([("s", True), ("s", True), ("t", False)], "shop_id string, enabled boolean")
+    ready, refused = lifecycle.pushable(d, c)
+    assert [r["id"] for r in ready.collect()] == [1]
+    assert dict(map(tuple, refused.collect())) == {2: "no connector", 3: "no connector", 4: "state queued", 5: "no connector", 6: "state unknown"}
+
+
+def test_csv_files_keep_their_bytes(spark, tmp_path):
+    out = tmp_path / "out"
+    r = export.render(invoice(spark), "invoice", {"format": "both"})
+    export.write_files(r, str(out))
+    want = {(x["document_id"], x["extension"]): x["content"] for x in r.collect()}
+    for (doc, ext), content in want.items():
+        f = list((out / f"document_id={doc}" / f"extension={ext}").glob("part-*"))
+        assert len(f) == 1 and f[0].read_bytes().decode() == content + ("" if ext == "csv" else "\n")
 
 
 def test_merge_keeps_first_value_else_last(spark):

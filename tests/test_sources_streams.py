@@ -122,3 +122,76 @@ def test_audit_and_agent(spark, tmp_path):
     sinks.audit(df, "document.push", path)
     assert sorted(r["action"] for r in spark.read.parquet(path).collect()) == ["document.push", "document.submit"]
     assert sinks.enqueue_for_agent(df).first()["status"] == "pending"
+
+
+def test_webhook_sends_once(spark, tmp_path):
+    sent = tmp_path / "sent"
+    sent.mkdir()
+    folder = str(sent)
+
+    def post(url, body, headers):
+        import uuid
+
+        with open(f"{folder}/{uuid.uuid4()}", "w") as f:
+            f.write(headers["Idempotency-Key"])
+        return 200, "ok"
+
+    df = spark.createDataFrame([("a", "{}", "a:1", "webhook"), ("b", "{}", "b:1", "webhook"), ("c", "{}", "c:2", "desktop_agent"), ("d", "{}", "d:3", "fax"), ("e", "{}", "e:4", None)], "document_id string, body string, idempotency_key string, connector_type string")
+    send = lambda x: sinks.dispatch(x, {"webhook": lambda w: sinks.post_webhook(w, "u", None, post), "desktop_agent": sinks.enqueue_for_agent})
+    for _ in range(2):
+        got = sinks.deliver_once(df, send, str(tmp_path / "results"))
+        assert {(r["idempotency_key"], r["status"]) for r in got.collect()} == {("a:1", "success"), ("b:1", "success"), ("c:2", "pending"), ("d:3", "failed"), ("e:4", "failed")} and got.count() == 5
+    assert sorted(f.read_text() for f in sent.iterdir()) == ["a:1", "b:1"]
+
+
+def test_agent_polls_writes_and_acknowledges(spark, tmp_path):
+    from test_operators import invoice
+
+    docs = invoice(spark).withColumn("payload", F.struct("document_id"))
+    d = spark.createDataFrame([(1, "d1", "k", "pending", 1), (2, "d2", "k", "pending", 2), (3, "gone", "k", "pending", 3), (4, "d1", "other", "pending", 0), (5, "d1", "k", "failed", 0)], "id int, document_id string, connector_id string, status string, created_at int")
+    out = str(tmp_path / "files")
+    state = lambda x: {r["id"]: r["status"] for r in x.collect()}
+    first = sinks.poll_agent(d, docs, "k", "invoice", out, limit=1)
+    assert state(first) == {1: "success", 2: "pending", 3: "pending", 4: "pending", 5: "failed"}
+    for _ in range(2):
+        assert state(sinks.poll_agent(first, docs, "k", "invoice", out)) == {1: "success", 2: "success", 3: "pending", 4: "pending", 5: "failed"}
+    files = {(p.parent.parent.name, p.parent.name) for p in (tmp_path / "files").glob("*/*/part-*")}
+    assert files == {("document_id=d1", "extension=csv"), ("document_id=d1", "extension=json"), ("document_id=d2", "extension=json")}
+
+
+def test_ingest_keeps_page_order_and_counts_failed_pages(spark):
+    def provider(kind, text):
+        if "bad" in text:
+            raise ValueError("unreadable")
+        return {"supplier": {"name": {"value": text.split()[0], "confidence": 0.9}}, "line_items": [{"description": {"value": w, "confidence": 0.5}} for w in text.split()]}
+
+    pages = [("x", "invoice", p, f"p{p}") for p in range(5)] + [("y", "invoice", p, "bad" if p == 2 else f"q{p}") for p in (3, 2, 1, 0)] + [("z", "invoice", p, f"r{p}" + " " * 9 + "w" * 300) for p in range(7)] + [("n", "invoice", 0, None)]
+    df = spark.createDataFrame(pages, "document_id string, doc_type string, page int, text string").repartition(3)
+    got = {r["document_id"]: r for r in sinks.ingest(df, provider, "invoice").collect()}
+    said = lambda d: [i["description"]["value"][:2] for i in got[d]["line_items"]]
+    assert said("x") == ["p0", "p1", "p2", "p3", "p4"] and got["x"]["pages_failed"] == 0 and got["x"]["supplier"]["name"]["value"] == "p0"
+    assert said("y") == ["q0", "q1"] and got["y"]["pages_failed"] == 2
+    assert [w for w in said("z") if w[0] == "r"] == [f"r{p}" for p in range(7)] and got["n"]["pages_failed"] == 1 and got["n"]["item_count"] == 0
+
+
+def test_retry_all(spark, tmp_path):
+    df = spark.createDataFrame([(1, 1, "error", 5, 1), (1, 2, "done", 0, 2)], ITEMS)
+    assert sorted((r["id"], r["status"], r["attempts"]) for r in queue.retry_all(df).collect()) == [(1, "queued", 5), (2, "done", 0)]
+    src, out = tmp_path / "events", str(tmp_path / "out")
+    src.mkdir()
+    rows = [(1, 1, "enqueue", 1), (1, 2, "enqueue", 2), *[(1, 1, "error", t) for t in range(3, 8)], (1, 0, "retry_all", 9)]
+    (src / "a.json").write_text("\n".join(json.dumps(dict(zip(["device", "id", "action", "at_ms"], r, strict=True))) for r in rows))
+    stream = queue.fold(spark.readStream.schema("device long, id long, action string, at_ms long").json(str(src)))
+    stream.writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.mode("append").json(out)).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert [(r["pending"], r["next_id"]) for r in spark.read.json(out).collect()] == [(2, 1)]
+
+
+def test_run_batches(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    (src / "a.json").write_text('{"document_id": "a", "body": "{}"}')
+    stream = spark.readStream.schema("document_id string, body string").json(str(src))
+    step = lambda b, n: sinks.deliver_once(b, sinks.enqueue_for_agent, f"{out}/batch={n}")
+    for _ in range(2):
+        sinks.run_batches(stream, step, str(tmp_path / "state")).awaitTermination()
+    assert [(r["document_id"], r["status"]) for r in spark.read.parquet(out).collect()] == [("a", "pending")]
