@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing, pii, quality, simhash, substrings, suffixes, topk, warc, whitening
+from . import chat, divergence, mixing, packing, pii, quality, simhash, substrings, suffixes, topk, warc, whitening
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_substrings": substrings.op10_substrings,
     "op12_whitening": whitening.op12_whitening,
+    "op13_divergence": divergence.op13_divergence,
 }
 
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op7_topk": topk.ORACLE,
     "op9_warc": warc.ORACLE,
     "op10_substrings": substrings.ORACLE,
+    "op13_divergence": divergence.ORACLE,
 }
