@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, divergence, mixing, packing, pii, quality, simhash, substrings, suffixes, topk, warc, whitening
+from . import chat, divergence, mixing, packing, pii, quality, simhash, substrings, suffixes, topk, toxicity, warc, whitening
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffixes": suffixes.op8_suffixes,
     "op9_warc": warc.op9_warc,
     "op10_substrings": substrings.op10_substrings,
+    "op11_toxicity": toxicity.op11_toxicity,
     "op12_whitening": whitening.op12_whitening,
     "op13_divergence": divergence.op13_divergence,
 }
