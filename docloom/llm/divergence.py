@@ -21,9 +21,9 @@ texts are split at ends of terms while counting; an empty table gives an empty o
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +43,14 @@ _TO_TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 e
 
 
 class RadixTrie:
-    """Byte strings, each with a leaf's number from 0; edges have one or more bytes."""
+    """Byte strings, each with a leaf's number from 0; edges have one or more bytes, those of the root ``ROOT`` where terms have so many."""
+
+    ROOT = 3
 
     class Node:
         __slots__ = ("children", "leaf", "edge")
 
-        def __init__(self, edge: bytes, children: dict, leaf: int = -1) -> None:
+        def __init__(self, edge: bytes, children: dict | None = None, leaf: int = -1) -> None:
             self.edge, self.children, self.leaf = edge, children, leaf
 
     def __init__(self) -> None:
@@ -56,12 +58,18 @@ class RadixTrie:
 
     def leaf(self, term: bytes) -> int:
         """The number of a term's leaf, made if it isn't there."""
-        node, at, n = self.root, 0, len(term)
+        top, n = term[: self.ROOT], len(term)
+        node, at = self.root.children.get(top), len(top)
+        if node is None:
+            node = self.root.children[top] = self.Node(top)
         while at < n:
             first = term[at]
-            child = node.children.get(first)
+            children = node.children
+            if children is None:
+                children = node.children = {}
+            child = children.get(first)
             if child is None:
-                node.children[first] = self.Node(term[at:], {}, self.size)
+                children[first] = self.Node(term[at:], None, self.size)
                 self.size += 1
                 return self.size - 1
             edge = child.edge
@@ -70,7 +78,7 @@ class RadixTrie:
                 while same < n - at and term[at + same] == edge[same]:  # they differ before the edge ends
                     same += 1
                 child.edge = edge[same:]
-                child = node.children[first] = self.Node(edge[:same], {edge[same]: child})
+                child = children[first] = self.Node(edge[:same], {edge[same]: child})
                 edge = child.edge
             node, at = child, at + len(edge)
         if node.leaf < 0:
@@ -86,8 +94,11 @@ class RadixTrie:
             term = before + node.edge
             if node.leaf >= 0:
                 yield term, node.leaf
-            if children := node.children:
-                stack.extend((term, children[b]) for b in sorted(children, reverse=True)) if len(children) > 1 else stack.append((term, *children.values()))
+            children = node.children or ()
+            if len(children) > 1:
+                stack.extend([(term, children[b]) for b in sorted(children, reverse=True)])
+            elif children:
+                stack.append((term, *children.values()))
 
 
 class Leaves(dict):
@@ -101,8 +112,17 @@ class Leaves(dict):
         self.docs, self.keys, self.counts = np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0, "int64")  # keys: leaf and source
         self.new: list[list[np.ndarray]] = [[], [], [], []]
         self.pending = 0
+        self.found, self.times, self.rows_of = array("q"), array("q"), []  # of documents that aren't added yet
         self[b""]
 
+    def count(self, counts: Counter, source: int) -> None:
+        """A document's terms."""
+        self.found.extend(map(self.__getitem__, counts))
+        self.times.extend(counts.values())
+        self.rows_of.append((source, len(counts)))
+        if len(self.found) >= self.PENDING:
+            self.settle()
+
     def __missing__(self, term: bytes) -> int:
         leaf = self[term] = self.trie.leaf(term)
         return leaf
@@ -116,6 +136,13 @@ class Leaves(dict):
             self.settle()
 
     def settle(self) -> None:
+        if self.rows_of:
+            sources, sizes = np.array(self.rows_of, "int64").T
+            here, leaves, times = np.unique(sources), np.array(self.found, "int64"), np.array(self.times, "int64")
+            self.found, self.times, self.rows_of = array("q"), array("q"), []
+            ones, root = np.ones(len(leaves), "int64"), np.zeros(len(here), "int64")
+            self.pending = -len(leaves) - len(here)  # not again from add()
+            self.add(leaves, ones, np.append(leaves, root), np.append(np.repeat(sources, sizes), here), np.append(times, root))
         leaves, docs, keys, counts = (np.concatenate(c) if c else np.zeros(0, "int64") for c in self.new)
         self.docs = np.pad(self.docs, (0, self.trie.size - len(self.docs)))
         np.add.at(self.docs, leaves, docs)
@@ -124,11 +151,10 @@ class Leaves(dict):
         np.add.at(total, at, np.concatenate([self.counts, counts]))
         self.counts, self.new, self.pending = total, [[], [], [], []], 0
 
-    def rows(self, lang: str, names: list[str], min_docs: int = 0) -> Iterator[pa.RecordBatch]:
-        """The walk, without terms in fewer documents; names: of the sources."""
+    def rows(self, lang: str, names: list[str]) -> Iterator[pa.RecordBatch]:
+        """The walk; names: of the sources."""
         self.settle()
-        enough = (self.docs >= min_docs).tolist()
-        walk = [(term, leaf) for term, leaf in self.trie.walk() if enough[leaf] or not term]
+        walk = list(self.trie.walk())
         starts = np.searchsorted(self.keys, np.arange(self.trie.size + 1) << 32)
         sizes, names = np.diff(starts), pa.array(names, pa.string())
         for k in range(0, len(walk), 10_000):
@@ -176,10 +202,7 @@ def tries(docs: DataFrame, most: int = LEAVES) -> DataFrame:
             for text, lang, source in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if lang not in found:
                     found[lang] = Leaves()
-                known, s, counts = found[lang], names.setdefault(source, len(names)), count_terms(text)
-                leaves = np.fromiter(map(known.__getitem__, counts), "int64", len(counts))
-                entries = np.append(leaves, 0)  # the root's
-                known.add(leaves, np.ones(len(leaves), "int64"), entries, np.full(len(entries), s), np.fromiter(chain(counts.values(), (0,)), "int64", len(entries)))
+                found[lang].count(count_terms(text), names.setdefault(source, len(names)))
                 if sum(x.trie.size for x in found.values()) >= most:
                     yield from flush()
         yield from flush()
@@ -187,37 +210,59 @@ def tries(docs: DataFrame, most: int = LEAVES) -> DataFrame:
     return docs.select(plain("text").cast("binary").alias("text"), plain("lang").alias("lang"), plain("source").alias("source")).mapInArrow(run, _LEAVES)
 
 
+def _whole_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows, a term's in one batch: what may go on is held back."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        lang, term = b["lang"], b["term"]
+        same = pc.and_(pc.equal(lang, lang[-1]), pc.equal(term, term[-1]))
+        cut = b.num_rows - pc.sum(same).as_py()
+        if held and (cut or held[-1]["term"][-1] != term[-1] or held[-1]["lang"][-1] != lang[-1]):
+            yield pa.concat_batches([*held, b.slice(0, cut)])
+            held = []
+        elif cut:
+            yield b.slice(0, cut)
+        held.append(b.slice(cut))
+    if held:
+        yield pa.concat_batches(held)
+
+
 def merge(partial: DataFrame, min_docs: int = MIN_DOCS, most: int = LEAVES) -> DataFrame:
     """Leaves of many tries -> those of one a language, without terms in fewer documents; the empty term stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[str, int] = {}
-        now, last, found = None, None, None
-        for b in batches:
-            langs, terms = b.column(0).to_pylist(), b.column(1).to_pylist()
-            coded = b.column(3).flatten().dictionary_encode()
+        now, found = None, None
+        for t in _whole_terms(batches):
+            new = np.append(True, pc.or_(pc.not_equal(t["term"][1:], t["term"][:-1]), pc.not_equal(t["lang"][1:], t["lang"][:-1])).to_numpy(zero_copy_only=False))
+            starts, docs = np.flatnonzero(new), t["docs"].to_numpy()
+            enough = (np.add.reduceat(docs, starts) >= min_docs) | (pc.binary_length(t["term"]).to_numpy()[starts] == 0)
+            t = t.filter(pa.array(enough[np.cumsum(new) - 1]))
+            coded = t["sources"].flatten().dictionary_encode()
             sources = np.array([names.setdefault(s, len(names)) for s in coded.dictionary.to_pylist()], "int64")[coded.indices.to_numpy()]
-            counts, docs = b.column(4).flatten().to_numpy(), b.column(2).to_numpy()
-            starts = b.column(3).offsets.to_numpy()
-            starts, at = starts - starts[0], 0
-            leaves = np.zeros(len(terms), "int64")
+            counts, docs, sizes = t["counts"].flatten().to_numpy(), t["docs"].to_numpy(), pc.list_value_length(t["sources"]).to_numpy()
+            first, leaves, at = np.cumsum(np.append(0, sizes)), np.zeros(t.num_rows, "int64"), 0
 
             def add(at: int, end: int) -> None:
-                part = slice(starts[at], starts[end])
-                found.add(leaves[at:end], docs[at:end], np.repeat(leaves[at:end], np.diff(starts[at : end + 1])), sources[part], counts[part])  # noqa: B023
+                part = slice(first[at], first[end])
+                found.add(leaves[at:end], docs[at:end], np.repeat(leaves[at:end], sizes[at:end]), sources[part], counts[part])  # noqa: B023
 
-            for k, (lang, term) in enumerate(zip(langs, terms, strict=True)):
+            last = None
+            for k, (lang, term) in enumerate(zip(t["lang"].to_pylist(), t["term"].to_pylist(), strict=True)):
                 if lang != now or term != last and found.trie.size >= most:
                     if found is not None:
                         add(at, k)
-                        yield from found.rows(now, list(names), min_docs)
-                    found, now, at = Leaves(), lang, k
-                if term != last or k == at:
+                        yield from found.rows(now, list(names))
+                    found, now, at, last = Leaves(), lang, k, None
+                if term != last:
                     last, leaf = term, found.trie.leaf(term.encode())
                 leaves[k] = leaf
-            add(at, len(terms))
+            if found is not None:
+                add(at, t.num_rows)
         if found is not None:
-            yield from found.rows(now, list(names), min_docs)
+            yield from found.rows(now, list(names))
 
     dealt = partial.repartitionByRange(shuffle_partitions(partial.sparkSession), "lang", "term").sortWithinPartitions("lang", "term")
     return dealt.mapInArrow(run, _LEAVES)
