@@ -12,22 +12,26 @@ from pyspark.sql import functions as F
 
 from ..functions.names import base_molecule, molecule_of, normalize
 from ..functions.scores import SCORERS
+from .fuzzy import best_names
 
 
 def match_names(queries: DataFrame, catalog: DataFrame, limit: int = 3, min_score: float = 40.0, scorer: str = "token_set") -> DataFrame:
     """queries (query_id, shop_id, name), catalog (id, shop_id, normalized_name, ...) -> query_id, rank, id, raw_score, score.
 
     Jaccard hits share a token: names meet on the rarest tokens that a hit can't do without. Other fuzzy hits need not
-    share one, so every name of a shop is compared with every name of its catalog, dealt out by parts of the catalog.
-    Of each query at most ``limit`` names can hold its best ids, so names are ranked first and expanded to ids after.
+    share one: they are found by bounds (``fuzzy``). Of each query at most ``limit`` names can hold its best ids, those
+    of the best scores and of equal ones the smallest first ids, so names are ranked first and expanded to ids after.
     """
     q = queries.select("query_id", "shop_id", normalize(F.col("name")).alias("q")).filter("q <> ''")
-    names = catalog.select("shop_id", F.col("normalized_name").alias("n")).distinct()
+    names = catalog.groupBy("shop_id", F.col("normalized_name").alias("n")).agg(F.min("id").alias("first_id"))
     asked = q.select("shop_id", "q").distinct()
-    pairs = _sharing(asked, names, min_score) if scorer == "jaccard" and min_score > 0 else _all_pairs(asked, names)
-    scored = pairs.withColumn("raw_score", SCORERS[scorer](F.col("q"), F.col("n"))).filter(F.col("raw_score") >= min_score)
-    # All names that tie with the limit-th stay, as one of their ids may be smaller.
-    near = scored.withColumn("r", F.rank().over(W.partitionBy("shop_id", "q").orderBy(F.desc("raw_score")))).filter(F.col("r") <= limit).drop("r")
+    if scorer == "token_set":
+        scored = best_names(asked, names, limit, min_score)
+    else:
+        pairs = _sharing(asked, names.drop("first_id"), min_score) if min_score > 0 else _all_pairs(asked, names.drop("first_id"))
+        scored = pairs.withColumn("raw_score", SCORERS[scorer](F.col("q"), F.col("n"))).filter(F.col("raw_score") >= min_score)
+    first = F.row_number().over(W.partitionBy("shop_id", "q").orderBy(F.desc("raw_score"), "first_id"))
+    near = scored.join(names, ["shop_id", "n"]).withColumn("r", first).filter(F.col("r") <= limit).drop("r", "first_id")
     items = catalog.select("shop_id", F.col("normalized_name").alias("n"), "id")
     items = items.withColumn("k", F.row_number().over(W.partitionBy("shop_id", "n").orderBy("id"))).filter(F.col("k") <= limit).drop("k")
     best = near.join(items, ["shop_id", "n"])

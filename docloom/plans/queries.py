@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import values as V
 from ..operators import chunks, export, lifecycle, matching, nested, tables
 from ..operators.tenancy import TenantScope, mentions, search_catalog, unpaired
+from ..shared import folder
 from ..sources import catalog as catalogs
 from ..sources import uploads
 from ..streaming import queue
@@ -607,8 +606,7 @@ def stream_queue(spark, sf_dir):
 
 def _drained(spark, stream, mode: str):
     """What a stream over the files there are leaves in a table in the shared folder."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="docloom-")
-    path = f"{top}/stream-{spark.range(1).select(F.uuid()).first()[0]}"
+    path = folder(spark, "stream")
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(lambda df, n: df.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/out")).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{path}/out")
