@@ -426,6 +426,27 @@ def page_header(spark, sf_dir):
     return s.select("s_suppkey", tables.header_text(text).alias("h")).select("s_suppkey", "h.*")
 
 
+#: Ways in which suppliers write the same header, by remainder of the key.
+_HEADERS = [
+    "{name} pharma agencies  ORIGINAL\nINVOICE     NO: S/{key}    dt01.02.2024\ngstin 27abcde{key8}",
+    "Bill\n{name} Enterprises|Tax   Invoice\nInvoice No{key} Dt. - 01-02-2024\nGSTIN:27ABCDE{key8}",
+    "invoiceno. -{key}/A of {name}, dt : 1/2/2024\n  {name} HEALTHCARE - credit note 7\nOur GSTIN-27ABCDE{key8}X",
+    "Invoice\nNo\t:\tS-{key}\n{name} LTD\nDt. 01.02.2024",
+    "Delivery to {name} Co\nInvoice Notice\nGSTIN: none, GSTIN: 27ABCDE{key8}",
+]
+
+
+@query("""SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN s_name || ' pharma agencies' WHEN 1 THEN s_name || ' Enterprises' WHEN 2 THEN s_name || ' HEALTHCARE' WHEN 3 THEN s_name || ' LTD' END AS supplier,
+CASE s_suppkey % 5 WHEN 0 THEN '27abcde' WHEN 3 THEN NULL ELSE '27ABCDE' END || lpad(s_suppkey::VARCHAR, 8, '0') AS gstin,
+CASE s_suppkey % 5 WHEN 0 THEN 'S/' || s_suppkey WHEN 1 THEN s_suppkey::VARCHAR WHEN 2 THEN s_suppkey || '/A' WHEN 3 THEN 'S-' || s_suppkey ELSE 'tice' END AS invoice_no,
+CASE s_suppkey % 5 WHEN 0 THEN '01.02.2024' WHEN 1 THEN '01-02-2024' WHEN 2 THEN '1/2/2024' END AS invoice_date FROM supplier""")
+def page_header_forms(spark, sf_dir):
+    s = A.table(spark, sf_dir, "supplier")
+    key, form = F.col("s_suppkey").cast("string"), F.element_at(F.array(*map(F.lit, _HEADERS)), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    text = F.replace(F.replace(F.replace(form, F.lit("{name}"), F.col("s_name")), F.lit("{key8}"), F.lpad(key, 8, "0")), F.lit("{key}"), key)
+    return s.select("s_suppkey", tables.header_text(text).alias("h")).select("s_suppkey", "h.*")
+
+
 # ---- catalog sources, uploads
 
 

@@ -105,6 +105,24 @@ def test_header_text(spark):
     assert tuple(a) == ("Good PHARMA Ltd", "27ABCDE1234F1Z5", "A/1", "01.02.2024") and set(b) == {None}
 
 
+def test_header_text_in_other_forms(spark):
+    texts = ["Invoice No5", "INVOICE     NO: 77", "gstin 27abcde1234f1z5", "Invoice No X9 dt01.02.2024", "Invoice No: -A1\nDt. 01.02.2024", "GSTIN 27ABCDE, GSTIN:- 27ABCDE1234F1Z5 GSTIN 27ABCDE1234F1Z6", "a\x0bMy Agencies\x0cb"]
+    got = [tuple(r[0]) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(tables.header_text(F.col("t"))).collect()]
+    assert got == [
+        (None, None, "5", None), (None, None, "77", None), (None, "27abcde1234f1z5", None, None), (None, None, "X9", "01.02.2024"),
+        (None, None, "-A1", None), (None, "27ABCDE1234F1Z6", None, None), ("My Agencies", None, None, None),
+    ]
+
+
+def test_signature_is_the_hmac(spark):
+    from docloom.functions import values as V
+
+    df = spark.createDataFrame([("",), ("body é",), (None,)], "b string")
+    for secret in ("", "s", "k" * 64, "k" * 65 + "é"):
+        got = [r[0] for r in df.select(V.signature(F.col("b"), secret)).collect()]
+        assert got == [V.sign(secret, ""), V.sign(secret, "body é"), None]
+
+
 CATALOG = "id string, shop_id string, sku string, name string, normalized_name string, composition string, strength string, mrp double, stock_qty double"
 
 
