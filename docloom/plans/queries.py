@@ -575,6 +575,30 @@ def export_json(spark, sf_dir):
     return export.render(A.invoices(spark, sf_dir), "invoice", {"format": "json"})
 
 
+_BOTH = _FLAT + f""", files AS (SELECT document_id || '.csv' AS name, {{csv}} AS content FROM flat GROUP BY document_id UNION ALL SELECT document_id || '.json', {{json}} FROM flat GROUP BY document_id
+UNION ALL SELECT document_id || '.csv', {{top}} FROM heads WHERE document_id NOT IN (SELECT document_id FROM items) UNION ALL SELECT document_id || '.json', '[]' FROM heads WHERE document_id NOT IN (SELECT document_id FROM items))
+SELECT name, octet_length(encode(content))::BIGINT AS bytes, sha256(content) AS sha256 FROM files"""
+
+
+def _sql_both() -> str:
+    heads = {"Stock Item": "description", "Batch": "batch_no", "Expiry": "expiry", "Quantity": "quantity", "Rate": "rate", "Amount": "amount"}
+    top = f"'{';'.join(heads)}' || chr(13) || chr(10)"
+    csv = f"{top} || string_agg({' || chr(59) || '.join(heads.values())} || chr(13) || chr(10), '' ORDER BY item_no)"
+    fields = ", ".join(f"""'  "{h}" : "' || {f} || '"'""" for h, f in heads.items())
+    json = f"""'[ {{' || chr(10) || string_agg(concat_ws(',' || chr(10), {fields}), chr(10) || '}}, {{' || chr(10) ORDER BY item_no) || chr(10) || '}} ]'"""
+    return _BOTH.format(top=top, csv=csv, json=json)
+
+
+@query(_sql_both())
+def exported_files(spark, sf_dir):
+    """Files by document, both formats, written twice and read back."""
+    rendered, path = export.render(A.invoices(spark, sf_dir), "invoice", {"format": "both", "profile": "tally", "delimiter": ";"}), folder(spark, "exports")
+    for _ in range(2):
+        export.write_named_files(rendered, path)
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 #: The voucher as its readers want it; @LF@ is a line feed.
 _VOUCHER = "@LF@".join([
     "<ENVELOPE>", "  <HEADER><TALLYREQUEST>Import Data</TALLYREQUEST></HEADER>", "  <BODY><IMPORTDATA>", "    <REQUESTDESC><REPORTNAME>Vouchers</REPORTNAME></REQUESTDESC>", "    <REQUESTDATA>",

@@ -103,7 +103,7 @@ def poll_agent(deliveries: DataFrame, docs: DataFrame, connector_id, doc_type: s
     """
     due = lifecycle.pending_for(deliveries, connector_id, limit)
     mine = docs.join(due.select("document_id"), "document_id", "left_semi")
-    export.write_files(agent_files(mine, doc_type), path)
+    export.write_named_files(agent_files(mine, doc_type), path)
     return lifecycle.acknowledge(deliveries, due.join(mine.select("document_id"), "document_id", "left_semi"))
 
 
