@@ -10,7 +10,8 @@ from ..operators import chunks, export, lifecycle, matching, nested, tables
 from ..operators.tenancy import TenantScope, mentions, search_catalog, unpaired
 from ..shared import folder
 from ..sources import catalog as catalogs
-from ..sources import uploads
+from ..sources import feed, uploads
+from ..sources.named_files import write_named
 from ..streaming import intake, queue
 from . import analogues as A
 
@@ -680,3 +681,21 @@ def stream_ingest(spark, sf_dir):
     intake.take_in(stream, _lines, "invoice", out, state, 60_000).awaitTermination()
     items = F.when(F.col("status") == "needs_review", F.md5(F.array_join(F.transform("line_items", lambda x: F.coalesce(x["description"]["value"], F.lit(""))), "\n")))
     return intake.results(spark, out).filter("document_id <> ''").select("document_id", "status", "error", "item_count", items.alias("items"))
+
+
+@query("""SELECT event_id AS id, user_id || ':' || event_type AS idempotency_key, 1::BIGINT AS times, TRUE AS acknowledged FROM events
+WHERE event_type <> 'error' AND value < 5""")
+def stream_feed(spark, sf_dir):
+    """Pending deliveries as a feed of pages of about 500; two polls, the second after the feed has grown."""
+    due = A.deliveries(spark, sf_dir).filter("status = 'pending'").select("id", "idempotency_key")
+    pages = max(2, due.count() // 500)
+    page = due.groupBy(F.pmod(F.xxhash64("id"), F.lit(pages)).alias("k")).agg(F.to_json(F.collect_list(F.struct("id", "idempotency_key"))).alias("content"))
+    every = spark.range(pages).withColumnRenamed("id", "k").join(page, "k", "left").select(F.concat(F.col("k").cast("string"), F.lit(".json")).alias("name"), F.coalesce("content", F.lit("[]")).alias("content"))
+    url, out, state = (folder(spark, x) for x in ("feed", "taken-in", "state"))
+    write_named(every, url)
+    for n in (pages // 2, pages):
+        write_named(spark.createDataFrame([("latest.json", f'{{"pages": {n}}}')], "name string, content string"), url)
+        taken = feed.poll(spark, url, out, state, feed.FolderFeed)
+    told = spark.read.schema("pages long").json(f"{url}/acknowledged.json").first()["pages"]
+    each = taken.select("page", F.from_json("item", "id long, idempotency_key string").alias("d")).groupBy("d.id", "d.idempotency_key").agg(F.count("*").alias("times"), F.max("page").alias("page"))
+    return each.select("id", "idempotency_key", "times", (F.col("page") < told).alias("acknowledged"))
