@@ -63,13 +63,42 @@ DATE_FORMS = [
 ]
 
 
+_MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+_TIMES = r"\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(\s*[ap]\.?m\b)?|\d{1,2}(\.\d{2})?\s*[ap]\.?m\b"
+
+
+def worded_date(value: Column) -> Column:
+    """A date whose month is a word, whole or from three letters on, in any order, among other words, weekdays and times.
+
+    One pass over the tokens: the first month counts; a number of four digits is the year; of the others the first up to 31 is the day,
+    with or without an ordinal's ending, and one after it the year of this century. Without a day it is the month's first,
+    without a month or a year none: it never depends on today.
+    """
+    text = F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), _TIMES, " ")
+    tokens = F.regexp_extract_all(text, F.lit(r"[a-z]+|\d+(?:st|nd|rd|th)?"), F.lit(0))
+    months = F.array(*map(F.lit, _MONTHS))
+    none = F.lit(None).cast("int")
+
+    def step(state: Column, token: Column) -> Column:
+        digits = F.regexp_extract(token, r"^\d{1,4}(?!\d)", 0)
+        n, size, ordinal = F.nullif(digits, F.lit("")).try_cast("int"), F.length(digits), token.rlike("[a-z]$")
+        month = F.when((F.length(token) >= 3) & n.isNull(), F.nullif(F.array_position(F.transform(months, lambda m: m.startswith(token)), F.lit(True)).cast("int"), F.lit(0)))
+        day = F.when(state["day"].isNull() & (size <= 2) & n.between(1, 31), n)
+        year = F.when(day.isNull() & ~ordinal, F.when(size == 4, n).when((size == 2) & state["day"].isNotNull(), n + 2000))
+        return F.struct(F.coalesce(state["day"], day).alias("day"), F.coalesce(state["month"], month).alias("month"), F.coalesce(state["year"], year).alias("year"))
+
+    start = F.struct(none.alias("day"), none.alias("month"), none.alias("year"))
+    plain = lambda s: F.when(s["month"].isNotNull() & s["year"].isNotNull(), F.format_string("%04d-%02d-%02d", s["year"], s["month"], F.coalesce(s["day"], F.lit(1))))
+    return F.try_to_timestamp(F.aggregate(tokens, start, step, plain), F.lit("yyyy-MM-dd")).cast("date")
+
+
 def date(value: Column) -> Column:
-    """Day first, ISO as ISO; month and year give the first of the month; anything else is null."""
+    """Day first, ISO as ISO, months as words; month and year give the first of the month; anything else is null."""
     tries = []
     for pattern, form in DATE_FORMS:
         found = _first(value, rf"(?<![\d/.-])({pattern})(?![\d/.-])", 1)
         tries.append(F.try_to_timestamp(F.initcap(found), F.lit(form)).cast("date"))
-    return F.coalesce(*tries)
+    return F.coalesce(*tries, worded_date(value))
 
 
 def idempotency_key(document_id: Column, connector_id: Column) -> Column:

@@ -84,6 +84,19 @@ def date_parse(spark, sf_dir):
     return A.table(spark, sf_dir, "orders").select("o_orderkey", *each, said(F.lit("soon")).alias("nothing"))
 
 
+#: Dates in words, by remainder of the key; the last has no day.
+_WORDED = ["'Dated' EEEE, d MMMM yyyy", "MMMM d, yyyy 'at' h:mm a", "'due on' d'th of' MMM, yyyy 'please'", "HH:mm:ss 'on' MMMM d'th' yyyy", "yyyy MMMM d", "'Expiry' MMMM yyyy"]
+
+
+@query(f"SELECT o_orderkey, CASE WHEN o_orderkey % {len(_WORDED)} = {len(_WORDED) - 1} THEN date_trunc('month', o_orderdate) ELSE o_orderdate END::DATE::VARCHAR AS said FROM orders")
+def date_words(spark, sf_dir):
+    at = F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(mins=F.col("o_orderkey").cast("int") % 1440)
+    said = F.lit("")
+    for k, form in enumerate(_WORDED):
+        said = F.when(F.col("o_orderkey") % len(_WORDED) == k, F.date_format(at, form)).otherwise(said)
+    return A.table(spark, sf_dir, "orders").select("o_orderkey", V.date(said).cast("string").alias("said"))
+
+
 @query("""SELECT o_orderkey, CASE WHEN contains(upper(substr(repeat(' ', (o_orderkey % 70)::INT) || 'Tax Invoice ' || o_orderkey, 1, 64)), 'INVOICE') THEN 'invoice' ELSE 'prescription' END AS doc_type FROM orders""")
 def classified(spark, sf_dir):
     content = F.concat(F.repeat(F.lit(" "), (F.col("o_orderkey") % 70).cast("int")), F.lit("Tax Invoice "), F.col("o_orderkey").cast("string"))

@@ -81,3 +81,16 @@ def test_token_set():
 def test_jaccard(spark):
     df = spark.createDataFrame([("a b", "b c"), ("", "a"), ("a a", "a")], "x string, y string")
     assert [round(r[0], 3) for r in df.select(S.jaccard(F.col("x"), F.col("y"))).collect()] == [33.333, 0.0, 100.0]
+
+
+@pytest.mark.parametrize(
+    ("said", "expected"),
+    [
+        ("5th March 2024", "2024-03-05"), ("March 5, 2024", "2024-03-05"), ("the 21st of Sept, 2023, 10:30 pm", "2023-09-21"), ("Tuesday 05 MARCH 2024 9.15 a.m.", "2024-03-05"),
+        ("2024 august 1", "2024-08-01"), ("12 Dec 24", "2024-12-12"), ("December 2025", "2025-12-01"), ("31 February 2024", None), ("March 24", None), ("5 2024", None), ("ma 5 2024", None),
+        ("7 June, 2021 to 9 July 2022", "2021-06-07"), ("batch 99999 1 jan 2020", "2020-01-01"), (None, None), ("", None),
+    ],
+)
+def test_dates_in_words(spark, said, expected):
+    got = one(spark, said, V.date)
+    assert got == (datetime.date.fromisoformat(expected) if expected else None)
