@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import values as V
-from ..operators import chunks, export, lifecycle, matching, nested, tables
+from ..operators import chunks, export, lifecycle, matching, nested, paging, tables
 from ..operators.tenancy import TenantScope, mentions, search_catalog, unpaired
 from ..shared import folder
 from ..sources import catalog as catalogs
@@ -712,3 +712,15 @@ def stream_feed(spark, sf_dir):
     told = spark.read.schema("pages long").json(f"{url}/acknowledged.json").first()["pages"]
     each = taken.select("page", F.from_json("item", "id long, idempotency_key string").alias("d")).groupBy("d.id", "d.idempotency_key").agg(F.count("*").alias("times"), F.max("page").alias("page"))
     return each.select("id", "idempotency_key", "times", (F.col("page") < told).alias("acknowledged"))
+
+
+@query(f"""WITH {A.DOCUMENTS}, mid AS (SELECT created_at, id FROM docs WHERE shop_id = 7 ORDER BY created_at DESC, id DESC LIMIT 1 OFFSET (SELECT count(*) // 2 FROM docs WHERE shop_id = 7))
+SELECT id, status, created_at::DATE::VARCHAR AS created FROM docs WHERE shop_id = 7 AND (created_at, id) < (SELECT (created_at, id) FROM mid) ORDER BY docs.created_at DESC, id DESC LIMIT 50""")
+def documents_page_by_key(spark, sf_dir):
+    """The page after the row in the middle of a shop's documents."""
+    d, path = A.documents(spark, sf_dir), folder(spark, "paged")
+    paging.write_clustered(d, path, "shop_id", "created_at", "id", 5_000)
+    mine = d.filter("shop_id = 7")
+    last = mine.select("created_at", "id").orderBy(F.desc("created_at"), F.desc("id")).offset(mine.count() // 2).limit(1).first()
+    after = (last["created_at"], last["id"]) if last else None
+    return paging.page_after(spark, path, "shop_id", 7, "created_at", "id", after, 50).select("id", "status", F.col("created_at").cast("date").cast("string").alias("created"))
