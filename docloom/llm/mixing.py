@@ -12,6 +12,8 @@ the empty string; rows with the same id share one hash and are taken together; a
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -87,22 +89,23 @@ def plan(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2
     return sized, cut(out.select("source", "source_size", "target", "whole", F.coalesce("last_in", F.lit(-1)).alias("last_in"))), few
 
 
-def _copies():
-    return F.col("whole") + F.when(F.col("h") <= F.col("last_in"), 1).otherwise(0)
+def _copies(most: float):
+    """Rows without words share a full source's turns, but none comes more than ``most`` times."""
+    return F.least(F.col("whole") + F.when(F.col("h") <= F.col("last_in"), 1).otherwise(0), F.lit(math.ceil(most)).cast("long"))
 
 
 def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(doc_id, source, text) -> doc_id, source, size, source_size, target, copies, taken."""
     sized, targets, few = plan(docs, weights, share, most)
     out = _joiner(few)(sized, targets)
-    return out.select("doc_id", "source", "size", "source_size", "target", _copies().alias("copies"), (_copies() * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", _copies(most).alias("copies"), (_copies(most) * F.col("size")).alias("taken"))
 
 
 def mixture(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The documents that the mix takes, each as often as it takes it, with their columns; a filter over the documents."""
     _, targets, few = plan(docs, weights, share, most)
     packed = docs.select(F.col("source"), doc_hash(F.col("doc_id")).alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    taken = _joiner(few)(packed, targets).select("row", F.explode(F.array_repeat(F.lit(0), _copies().cast("int"))))
+    taken = _joiner(few)(packed, targets).select("row", F.explode(F.array_repeat(F.lit(0), _copies(most).cast("int"))))
     return taken.select("row.*")
 
 
