@@ -21,6 +21,7 @@ ALLOWED = {
 }
 #: A retry by hand may also reopen a document under review.
 RETRY_FROM = ["failed", "needs_review"]
+#: Fixed value: what a document says that a restart cut short.
 INTERRUPTED = "Processing was interrupted (server restart). Please retry."
 
 
