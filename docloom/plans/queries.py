@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import values as V
-from ..operators import chunks, export, lifecycle, matching, nested, paging, tables
+from ..operators import chunks, export, lifecycle, matching, nested, paging, tables, trees
 from ..operators.tenancy import TenantScope, mentions, search_catalog, unpaired
 from ..shared import folder
 from ..sources import catalog as catalogs
@@ -203,6 +203,20 @@ def field_walk(spark, sf_dir):
     return w.select("document_id", F.col("position.a").alias("top"), F.col("position.i").alias("item"), F.col("position.j").alias("place"), "path", "value", "confidence")
 
 
+# JSON without a schema: the fields of events, and records as text that must give what the typed walk gives.
+@query("""SELECT event_id, substr(fullkey, 3) AS path, CASE WHEN type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'number' ELSE lower(type) END AS kind, atom ->> '$' AS value
+FROM events, json_tree(props) WHERE type NOT IN ('OBJECT', 'ARRAY')""")
+def json_leaves(spark, sf_dir):
+    found = trees.leaves(A.table(spark, sf_dir, "events").select("event_id", "props"), "props", ["event_id"])
+    return found.select("event_id", "path", "kind", "value")
+
+
+@query(f"WITH {A.INVOICES}, {A.LEAVES} SELECT document_id, path, value, confidence FROM leaves WHERE value IS NOT NULL AND confidence IS NOT NULL")
+def json_field_walk(spark, sf_dir):
+    records = A.invoices(spark, sf_dir).select("document_id", F.to_json("data").alias("record"))
+    return trees.scored(trees.leaves(records, "record", ["document_id"]), ["document_id"])
+
+
 @query(f"WITH {A.INVOICES}, {A.LEAVES} SELECT document_id, string_agg(path, ',' ORDER BY a, i, j) AS paths FROM leaves WHERE value <> '' AND confidence < 0.6 GROUP BY document_id")
 def low_confidence(spark, sf_dir):
     w = nested.walk(A.invoices(spark, sf_dir).select("document_id", "data"), nested.INVOICE)
