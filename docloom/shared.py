@@ -24,3 +24,14 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder(spark, "checkpoints"))
     return df.checkpoint()
+
+
+def is_whole(spark: SparkSession, path: str) -> bool:
+    """Whether a job that wrote to ``path`` has ended."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    old = spark._jvm.org.apache.hadoop.fs.Path(path)
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
