@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import values as V
-from ..operators import chunks, export, lifecycle, matching, nested, paging, tables, trees
+from ..operators import buckets, chunks, export, grams, lifecycle, matching, nested, paging, tables, trees
 from ..operators.tenancy import TenantScope, mentions, search_catalog, unpaired
 from ..shared import folder
 from ..sources import catalog as catalogs
 from ..sources import feed, uploads
 from ..sources.named_files import write_named
-from ..streaming import intake, queue
+from ..streaming import intake, ledger, queue, sinks
 from . import analogues as A
 
 QUERIES, ORACLES = {}, {}
@@ -738,3 +739,79 @@ def documents_page_by_key(spark, sf_dir):
     last = mine.select("created_at", "id").orderBy(F.desc("created_at"), F.desc("id")).offset(mine.count() // 2).limit(1).first()
     after = (last["created_at"], last["id"]) if last else None
     return paging.page_after(spark, path, "shop_id", 7, "created_at", "id", after, 50).select("id", "status", F.col("created_at").cast("date").cast("string").alias("created"))
+
+
+# ---- updates in place, substrings by an index, effects once
+
+
+@query(f"WITH {A.DELIVERIES} SELECT id, CASE WHEN id % 997 = 0 THEN 'success' ELSE status END AS status FROM deliveries")
+def acknowledged_in_buckets(spark, sf_dir):
+    """Few acknowledgements rewrite the few buckets that they touch."""
+    d, path = A.deliveries(spark, sf_dir), folder(spark, "deliveries")
+    buckets.write_bucketed(d, path, "id")
+    for name in ("first", "first", "again"):
+        buckets.update(spark, path, d.filter("id % 997 = 0").select("id"), lifecycle.acknowledge, name)
+    return buckets.read_bucketed(spark, path).select("id", "status")
+
+
+@query(f"""WITH {A.DOCUMENTS}, c AS (SELECT id, error, CASE WHEN hit THEN 'needs_review' ELSE status END AS status, CASE WHEN hit THEN 'corrected' ELSE 'read' END AS data
+  FROM (SELECT *, id % 401 = 0 AND status IN ('needs_review', 'approved', 'pushed') AS hit FROM docs)),
+a AS (SELECT id, error, data, CASE WHEN id % 403 = 0 AND status = 'needs_review' THEN 'approved' ELSE status END AS status FROM c)
+SELECT id, data, CASE WHEN id % 409 = 0 AND status IN ('failed', 'needs_review') THEN 'queued' ELSE status END AS status, CASE WHEN NOT (id % 409 = 0 AND status IN ('failed', 'needs_review')) THEN error END AS error FROM a""")
+def documents_in_buckets(spark, sf_dir):
+    """Corrections, approvals and retries of few documents, one after the other."""
+    d, path = A.documents(spark, sf_dir).withColumn("data", F.lit("read")), folder(spark, "documents")
+    buckets.write_bucketed(d, path, "id")
+    some = lambda n, *more: d.filter(F.col("id") % n == 0).select("id", *more)
+    buckets.update(spark, path, some(401, F.lit("corrected").alias("data")), lambda old, new: lifecycle.correct(old, new)[0], "corrections")
+    buckets.update(spark, path, some(403), lambda old, asked: lifecycle.approve(old, asked)[0], "approvals")
+    buckets.update(spark, path, some(409), lambda old, _: lifecycle.retry(old, F.col("id") % 409 == 0), "retries")
+    return buckets.read_bucketed(spark, path).select("id", "status", "data", "error")
+
+
+def _indexed(spark, sf_dir) -> str:
+    path = folder(spark, "names")
+    grams.build(A.catalog(spark, sf_dir).select("id", "shop_id", "name", "normalized_name", "mrp"), path, "normalized_name", "shop_id", "id")
+    return path
+
+
+@query(ORACLES["catalog_search"])
+def catalog_search_indexed(spark, sf_dir):
+    q = spark.range(1).select(N.normalize(F.lit("Ring Tab"))).first()[0]
+    hits = grams.search(spark, _indexed(spark, sf_dir), "normalized_name", q)
+    return hits.select("id", "name", "normalized_name", "mrp").orderBy("name", "id").limit(100)
+
+
+@query(f"""WITH {A.CATALOG}, w AS (SELECT DISTINCT unnest(string_split(normalized_name, ' ')) AS w FROM catalog), a AS (SELECT DISTINCT unnest([w, left(w, 1), right(w, 2), substr(w, 2, 4), w || w]) AS q FROM w)
+SELECT q, shop_id, count(*)::BIGINT AS hits, min(id) AS first_id FROM a JOIN catalog ON contains(normalized_name, q) GROUP BY q, shop_id""")
+def catalog_search_all(spark, sf_dir):
+    """Words of names, parts of them and what is in no name, all against all names."""
+    w = A.catalog(spark, sf_dir).select(F.explode(F.split("normalized_name", " ")).alias("w")).distinct()
+    asked = w.select(F.explode(F.array("w", F.left("w", F.lit(1)), F.right("w", F.lit(2)), F.substring("w", 2, 4), F.concat("w", "w"))).alias("q")).distinct()
+    hits = grams.search_all(spark, _indexed(spark, sf_dir), "normalized_name", asked)
+    return hits.groupBy("q", "shop_id").agg(F.count("*").alias("hits"), F.min("id").alias("first_id"))
+
+
+@query("""SELECT user_id || ':' || event_type AS idempotency_key, user_id::VARCHAR AS document_id, 1::BIGINT AS sent, 1::BIGINT AS audited FROM events WHERE event_type <> 'error' AND value < 5 GROUP BY user_id, event_type""")
+def stream_effects(spark, sf_dir):
+    """Pending deliveries in six files, two a batch, keys in several of them; the stream breaks before an acknowledgement and goes on."""
+    due = A.deliveries(spark, sf_dir).filter("status = 'pending'").select(F.col("document_id").cast("string").alias("document_id"), F.lit("{}").alias("body"), "idempotency_key", "id")
+    came, path, state = (folder(spark, x) for x in ("payloads", "effects", "state"))
+    due.repartition(6, "id").write.parquet(came)
+    broken = []
+
+    def acknowledge(rows) -> None:
+        if not broken:
+            broken.append(True)
+            raise ConnectionError("cut off")
+
+    for _ in range(2):
+        stream = spark.readStream.schema(due.schema).option("maxFilesPerTrigger", 2).parquet(came)
+        q = ledger.deliver(stream, sinks.enqueue_for_agent, path, state, acknowledge)
+        try:
+            q.awaitTermination()
+        except StreamingQueryException as e:
+            if "cut off" not in str(e):
+                raise
+    n = ledger.audit_rows(spark, path).groupBy("idempotency_key").agg(F.count("*").alias("audited"))
+    return ledger.sent_rows(spark, path).groupBy("idempotency_key", "document_id").agg(F.count("*").alias("sent")).join(n, "idempotency_key")
