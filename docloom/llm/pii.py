@@ -1,15 +1,18 @@
 """Personal data replaced by keyed surrogates.
 
-Detected: e-mail and IPv4 addresses, telephone, card and social security numbers, secrets (``token = "..."`` and
-long hexadecimal strings), and names after a title. A surrogate depends on the key, the kind and the entity only, so
+Detected: e-mail, IPv4 and IPv6 addresses, telephone numbers (international, North American, national with a leading 0),
+card, bank account (IBAN, by its check digits) and social security numbers, secrets (``token = "..."`` and long hexadecimal
+strings), and names after titles, in Latin or Cyrillic letters, with apostrophes, hyphens, inner capitals, initials or all in
+capitals. A surname that has a title somewhere in a text is replaced throughout that text, with a given name of the text before
+it. Not detected: names that have no title anywhere in their text, and addresses of streets. A surrogate depends on the key, the kind and the entity only, so
 an entity has one surrogate in the whole corpus, whatever its punctuation there:
 
 * characters are permuted within their class (digit, lower, upper, hexadecimal) by a keyed bijection of all strings of
   that shape without fixed points: entities of one shape never share a surrogate, none stays as it is, and a corpus
-  that has every string of a shape maps onto itself. Separators, lengths and case stay; a phone's country code, an IP's
-  kind (private or not), a card's Luhn validity and a mail's top-level domain stay too;
+  that has every string of a shape maps onto itself. Separators, lengths and case stay; a phone's country code or leading 0, an IP's
+  kind (private or not) or first group, a card's Luhn validity, an account's country and validity, and a mail's top-level domain stay too;
 * names are built word by word from syllables of their script (Latin or Cyrillic), given names with an ending of
-  their title's gender, in the case of the original: ``Mr. John Smith`` and ``Mr. Smith`` keep a common surname. Endings
+  their title's gender (by their own ending after titles of none), in the case of the original: ``Mr. John Smith`` and ``Mr. Smith`` keep a common surname. Endings
   differ by kind, so kinds never meet.
 
 Collisions are looked for over the distinct entities of the corpus, as a table: surrogates that two entities share
@@ -26,7 +29,9 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
+import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -46,28 +51,64 @@ STEP = 500
 
 
 def key_of(spark: SparkSession) -> bytes:
-    """The session's ``spark.docloom.pii.key``, else the example key."""
-    return spark.conf.get("spark.docloom.pii.key", EXAMPLE_KEY.decode()).encode()
+    """The session's ``spark.docloom.pii.key``, else, with a warning, the example key."""
+    key = spark.conf.get("spark.docloom.pii.key", None)
+    if key is None:
+        warnings.warn("spark.docloom.pii.key is unset: surrogates under the published example key can be inverted by anyone", stacklevel=2)
+    return EXAMPLE_KEY if key is None else key.encode()
 
 
 _TITLES = {
     "m": ["Mr", "Mister", "Sir", "Herr", "Señor", "Monsieur", "Don", "г-н", "господин"],
     "f": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Señorita", "Madame", "Mme", "Mlle", "Doña", "г-жа", "госпожа"],
 }
+_TITLES["n"] = ["Dr", "Doctor", "Doktor", "Prof", "Professor", "Rev", "Dra", "д-р", "доктор", "профессор"]
 _GENDER = {t: g for g, ts in _TITLES.items() for t in ts}
-_CAPITAL = "A-ZÀ-ÖØ-ÞА-ЯЁ"
-_SMALL = "a-zß-öø-ÿа-яё"
+#: Letters of Latin (with its extensions) and Cyrillic, by case.
+_LETTERS = [chr(c) for c in (*range(0x41, 0x250), *range(0x400, 0x530), *range(0x1E00, 0x1F00))]
+_CAPITAL, _SMALL = "".join(c for c in _LETTERS if c.isupper()), "".join(c for c in _LETTERS if c.islower())
 _PATTERNS = [
     ("email", re.compile(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")),
     ("secret", re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_ -]?key)\s*[=:]\s*[\"']?([A-Za-z0-9_+/-]{16,})")),
     ("secret", re.compile(r"(?<![0-9A-Za-z])([0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])")),
+    ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
+    ("ip6", re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])")),
     ("ip", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)")),
     ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)")),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
     ("card", re.compile(r"(?<![\d.])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d)")),
     ("phone", re.compile(r"(?<![\w(])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)")),
 ]
-_NAME = re.compile(rf"(?<!\w)({'|'.join(_GENDER)})\.? ((?:[{_CAPITAL}][{_SMALL}]+)(?:[ -][{_CAPITAL}][{_SMALL}]+){{0,2}})(?!\w)")
+_PATTERNS.append(("phone", re.compile(r"(?<![\w.+/-])0\d{2,4}[ /-]\d{3,4}[ -]?\d{2,5}(?![\w/]|[.-]\d)")))
+#: A capital, then letters of either case; an apostrophe only before a capital that goes on, so that a genitive stays outside.
+_WORD = rf"[{_CAPITAL}](?:[{_CAPITAL}{_SMALL}]|['’](?=[{_CAPITAL}]\w))+"
+_TITLE = rf"(?:(?:{'|'.join(_GENDER)})\.?|(?:{'|'.join(t.upper() for t in _GENDER)})\.) "
+_NAME = re.compile(rf"(?<!\w)((?:{_TITLE})+)(?:[{_CAPITAL}]\. ?)*({_WORD}(?:[ -]{_WORD}){{0,2}})(?!\w)")
+_ANY_NAME = re.compile(rf"(?<![\w]){_WORD}(?!\w)")
+_OF_TITLE = {**_GENDER, **{t.upper(): g for t, g in _GENDER.items()}}
+
+
+def _gender(titles: str, given: str) -> str:
+    """Of the first title that has one, else by the name's ending."""
+    told = [g for t in titles.split() if (g := _OF_TITLE[t.rstrip(".")]) != "n"]
+    return told[0] if told else "f" if given[-1].lower() in "aeая" else "m"
+
+
+def _valid(kind: str, said: str) -> bool:
+    """Whether what looks like an account or an address of version 6 is one."""
+    if kind == "iban":
+        return _mod97(re.sub(" ", "", said)) == 1
+    if kind == "ip6":
+        try:
+            ipaddress.IPv6Address(said)
+        except ValueError:
+            return False
+        return sum(map(bool, said.split(":"))) > 2 and any(c.isdigit() for c in said)
+    return True
+
+
+def _mod97(iban: str) -> int:
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
 def luhn(digits: str) -> bool:
@@ -88,26 +129,44 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             continue
         for m in pattern.finditer(text):
             a, b = m.span(pattern.groups)
-            if free(a, b):
-                said = m.group(pattern.groups)
+            if free(a, b) and _valid(kind, said := m.group(pattern.groups)):
                 spans.append((a, b, kind, canonical(kind, said)))
                 taken[a:b] = b"\x01" * (b - a)
+    named: dict[str, str] = {}
     for m in _NAME.finditer(text):
         words = list(re.finditer(r"[^\s-]+", m[2]))
+        if len(words) > 2 and words[1][0].isupper() and words[2][0].isupper():
+            words = words[:2]  # a heading in capitals goes on after the name
         for k, w in enumerate(words):
             a, b = m.start(2) + w.start(), m.start(2) + w.end()
             if free(a, b):
-                kind = "surname" if k == len(words) - 1 else f"given {_GENDER[m[1]]}"
+                kind = "surname" if k == len(words) - 1 else f"given {_gender(m[1], w[0])}"
                 spans.append((a, b, kind, canonical(kind, w[0])))
                 taken[a:b] = b"\x01" * (b - a)
+                if named.get(spans[-1][3]) != "surname":
+                    named[spans[-1][3]] = kind
+    last = None
+    for m in _ANY_NAME.finditer(text) if "surname" in named.values() else ():
+        kind = named.get(canonical("surname", m[0]))
+        if kind == "surname":
+            before = last if last and text[last.end() : m.start()] in (" ", "-") else None
+            for w in (before, m):
+                if w and free(*w.span()) and (of := named.get(canonical("surname", w[0]))):
+                    spans.append((*w.span(), of, canonical(of, w[0])))
+                    taken[w.start() : w.end()] = b"\x01" * (w.end() - w.start())
+        last = m
     return sorted(spans)
 
 
 def canonical(kind: str, said: str) -> str:
     if kind in ("phone", "card", "ssn"):
         return ("+" if said.startswith("+") else "") + re.sub(r"\D", "", said)
+    if kind == "ip6":
+        return f"{int(ipaddress.IPv6Address(said)):032x}"
+    if kind == "iban":
+        return said.replace(" ", "")
     if kind == "email" or kind == "surname" or kind.startswith("given"):
-        return said.lower()
+        return said.lower().replace("’", "'")
     return said
 
 
@@ -201,7 +260,12 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
         wrong = [c for c in "0123456789" if c != check]
         real = next(c for c in "0123456789" if luhn(entity[:-1] + c))
         return body + wrong[[c for c in "0123456789" if c != real].index(entity[-1])]
-    keep = 0
+    if kind == "ip6":
+        return permute(key, tweak, entity, "-" * 4 + "x" * 28)
+    if kind == "iban":
+        body = permute(key, f"{tweak} {entity[:2]}", entity[4:], _shape(entity[4:]))
+        return f"{entity[:2]}{98 - _mod97(f'{entity[:2]}00{body}'):02d}{body}"
+    keep = int(kind == "phone" and entity.startswith("0"))
     if kind == "phone" and entity.startswith("+"):
         keep = 1 + max(1, len(entity) - 11)  # the sign and the country code
     return permute(key, tweak, entity, "-" * keep + "d" * (len(entity) - keep))
@@ -214,6 +278,12 @@ def dressed(said: str, kind: str, new: str) -> str:
         return "".join(next(digits) if c.isdigit() else c for c in said)
     if kind == "email":
         return new.upper() if said.isupper() else new
+    if kind == "iban":
+        symbols = iter(new)
+        return "".join(" " if c == " " else next(symbols) for c in said)
+    if kind == "ip6":
+        address = str(ipaddress.IPv6Address(int(new, 16)))
+        return address.upper() if said.isupper() else address
     if kind == "surname" or kind.startswith("given"):
         return new.upper() if said.isupper() and len(said) > 1 else new[:1].upper() + new[1:]
     return new
