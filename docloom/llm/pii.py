@@ -329,7 +329,7 @@ def replace(docs: DataFrame, key: bytes, count_as: str | None = "n_entities") ->
     """The given columns with ``text`` replaced, and how many spans were, as ``count_as`` (in the place of a given column of that name), or not if None."""
     texts = keyed(docs)
     found = entities(texts)
-    moved = cut(attempts(found.select("kind", "entity").distinct(), key))
+    moved = cut(attempts(cut(found.select("kind", "entity").distinct()), key))
     n, chars = moved.agg(F.count("*"), F.coalesce(F.sum(F.length("entity")), F.lit(0))).first()
     few = n <= FEW and chars <= FEW_CHARS
     everywhere = {(r["kind"], r["entity"]): r["attempt"] for r in moved.collect()} if few else {}
