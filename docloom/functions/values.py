@@ -38,7 +38,7 @@ def to_float(value: Column) -> Column:
 
 def header_form(cell: Column) -> Column:
     """A header cell without white space and dots, lower case."""
-    return F.lower(F.regexp_replace(F.coalesce(cell, F.lit("")), r"[\s.]+", ""))
+    return F.lower(F.translate(F.coalesce(cell, F.lit("")), " \t\n\x0b\f\r.", ""))
 
 
 def clean(cell: Column) -> Column:

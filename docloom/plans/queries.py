@@ -437,12 +437,13 @@ def page_units(spark, sf_dir):
 
 @query(f"""WITH {A.INVOICES} SELECT document_id, item_no, description, nullif(batch_no, '') AS batch_no, hsn, quantity, replace(amount, ',', '') AS amount, CASE gst_percent::INT WHEN 0 THEN '0.0' ELSE (2 * gst_percent::INT) || '.0' END AS gst_percent FROM items""")
 def table_items(spark, sf_dir):
-    flat = nested.flatten_rows(A.invoices(spark, sf_dir), "invoice")
-    cells = F.array(F.col("item_no").cast("string"), "hsn", "description", "batch_no", F.concat("quantity", F.lit(" nos")), "amount", F.concat("gst_percent", F.lit("%")), F.concat("gst_percent", F.lit("%")))
-    rows = flat.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("item_no", cells.alias("c")))).alias("r"))
+    said = lambda x, n: F.coalesce(x[n]["value"], F.lit(""))
+    share = lambda x: F.concat(said(x, "gst_percent"), F.lit("%"))
+    cells = lambda x, i: F.array(i.cast("string"), said(x, "hsn"), said(x, "description"), said(x, "batch_no"), F.concat(said(x, "quantity"), F.lit(" nos")), said(x, "amount"), share(x), share(x))
+    rows = A.invoices(spark, sf_dir).select("document_id", F.transform("data.line_items", cells).alias("r")).filter("r IS NOT NULL")
     header = F.array(*[F.array(*map(F.lit, x)) for x in (["", "", "Tax Invoice"], ["Sr.", "HSN Code", "Product\nName", "Batch No.", "Qty", "Net Amount", "CGST %", "SGST %"])])
     total = F.array(F.array(F.lit(""), F.lit(""), F.lit("GRAND TOTAL"), F.lit("x"), F.lit("9")))
-    t = rows.select("document_id", F.lit(1).alias("page"), F.lit(1).alias("table"), F.concat(header, F.transform("r", lambda x: x["c"]), total).alias("rows"))
+    t = rows.select("document_id", F.lit(1).alias("page"), F.lit(1).alias("table"), F.concat(header, "r", total).alias("rows"))
     return tables.line_items(t).select("document_id", "item_no", "description", "batch_no", "hsn", "quantity", "amount", "gst_percent")
 
 

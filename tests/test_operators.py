@@ -228,3 +228,17 @@ def test_options(spark):
     got = export.options(spark).collect()
     assert [r["value"] for r in got if r["option"] == "format"] == ["csv", "json", "tally_xml", "both"]
     assert {r["value"] for r in got if r["option"] == "profile"} == set(nested.PROFILES)
+
+
+def test_a_rows_words_stay_in_their_cells(spark):
+    """A header is found by cells, not by what neighbouring cells say together; blanks and dots within a cell don't count."""
+    t = spark.createDataFrame([(1, [["ba", "tch", "qty"], ["B a.tch", None, "Pro duct", "Q.ty"]]), (2, [["batch"], ["qty"]]), (3, [])], "k int, rows array<array<string>>")
+    assert {r["k"]: r["h"] for r in t.select("k", tables.header_row(F.col("rows")).alias("h")).collect()} == {1: 1, 2: None, 3: None}
+
+
+def test_columns_are_chosen_once_a_table(spark):
+    """The fold over the fields stood in the plan once for each field."""
+    t = spark.createDataFrame([("d", 1, 1, [["Product", "Batch", "Qty"], ["Pen", "b", "2"]])], "document_id string, page int, table int, rows array<array<string>>")
+    items = tables.line_items(t)
+    assert items._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") <= 2  # and the shares of GST
+    assert [(r["description"], r["quantity"]) for r in items.collect()] == [("Pen", "2")]
