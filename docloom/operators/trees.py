@@ -24,11 +24,28 @@ def _kind(value: Column) -> Column:
     return found
 
 
+#: Levels that are walked in one step.
+LEVELS = 12
+
+
+def _depth(json: Column) -> Column:
+    """How deep a JSON text's brackets are nested, outside of its strings."""
+    unquoted = F.regexp_replace(F.regexp_replace(json, r"\\[\s\S]", ""), '"[^"]*"', "")
+    brackets = F.split(F.regexp_replace(unquoted, r"[^\[\]{}]+", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc: Column, b: Column) -> Column:
+        now = acc["now"] + F.when(b.isin("{", "["), 1).when(b.isin("}", "]"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(brackets, start, step, lambda acc: acc["most"])
+
+
 def leaves(rows: DataFrame, json: str, through: list[str]) -> DataFrame:
     """(json text, ...) -> the columns ``through``, path, depth, kind and value: every scalar and every empty object or list.
 
-    Each level is one narrow step over the nodes that the level before left open, so there are as many steps as the
-    deepest text has levels, and nothing is shuffled. What is left open is cut from its lineage a level. ``value`` is
+    One reading of the texts says how many levels the deepest has; then that many narrow steps run as one over the rows,
+    without a shuffle, and nothing is written. Only beyond ``LEVELS`` levels rows are cut from their lineage. ``value`` is
     text (null for null; ``{}`` or ``[]`` for what is empty), ``kind`` is object, array, string, number, boolean or null.
 
     A text that isn't JSON, or has a key twice in one object, gives one row of kind ``invalid``, without path and value; a
@@ -36,19 +53,22 @@ def leaves(rows: DataFrame, json: str, through: list[str]) -> DataFrame:
     """
     spark = rows.sparkSession
     own = F.struct(*[F.col(f"`{c}`") for c in through]).alias("own")
-    top = rows.filter(F.col(f"`{json}`").isNotNull()).select(own, F.lit("").alias("path"), F.lit(0).alias("depth"), F.try_parse_json(F.col(f"`{json}`")).alias("node"))
-    found = top.filter("node IS NULL").select("own", F.lit(None).cast("string").alias("path"), "depth", F.lit("invalid").alias("kind"), F.lit(None).cast("string").alias("value"))
-    here = top.filter("node IS NOT NULL")
-    while True:
-        # A scalar and an empty object or list have no parts, and come out once without a place.
-        parts = here.lateralJoin(spark.tvf.variant_explode_outer(F.col("node").outer()))
-        parts = cut(parts.select("own", "path", "depth", F.when(F.col("pos").isNull(), F.col("node")).alias("leaf"), "pos", "key", "value"))
-        kind = _kind(F.col("leaf"))
-        text = F.when(kind.isin("object", "array"), F.to_json("leaf")).otherwise(F.col("leaf").cast("string"))
-        found = found.union(parts.filter("pos IS NULL").select("own", "path", "depth", kind.alias("kind"), text.alias("value")))
-        here = parts.filter("pos IS NOT NULL").select("own", _step(F.col("path"), F.col("key"), F.col("pos")).alias("path"), (F.col("depth") + 1).alias("depth"), F.col("value").alias("node"))
-        if here.isEmpty():
-            return found.select("own.*", "path", "depth", "kind", "value")
+    texts = rows.filter(F.col(f"`{json}`").isNotNull())
+    here = texts.select(own, F.lit("").alias("path"), F.lit(0).alias("depth"), F.try_parse_json(F.col(f"`{json}`")).alias("node"))
+    # A text that isn't JSON has no levels, however many brackets.
+    levels = texts.agg(F.max(F.when(F.try_parse_json(F.col(f"`{json}`")).isNotNull(), _depth(F.col(f"`{json}`"))))).first()[0] or 0
+    for level in range(levels):
+        if level and level % LEVELS == 0:
+            here = cut(here)
+        # A scalar and an empty object or list have no parts: they come out as they are, without a place.
+        parts, inner = here.lateralJoin(spark.tvf.variant_explode_outer(F.col("node").outer())), F.col("pos").isNotNull()
+        here = parts.select(
+            "own", F.when(inner, _step(F.col("path"), F.col("key"), F.col("pos"))).otherwise(F.col("path")).alias("path"),
+            (F.col("depth") + inner.cast("int")).alias("depth"), F.when(inner, F.col("value")).otherwise(F.col("node")).alias("node"),
+        )
+    invalid, kind = F.col("node").isNull(), _kind(F.col("node"))
+    text = F.when(kind.isin("object", "array"), F.to_json("node")).otherwise(F.col("node").cast("string"))
+    return here.select("own.*", F.when(~invalid, F.col("path")).alias("path"), "depth", F.when(invalid, "invalid").otherwise(kind).alias("kind"), text.alias("value"))
 
 
 def scored(leaves: DataFrame, through: list[str]) -> DataFrame:

@@ -50,3 +50,16 @@ def test_objects_with_value_and_confidence(spark):
     docs = spark.createDataFrame([(1, json.dumps(record)), (2, '{"value":"top","confidence":0.25}'), (3, '{"my_value":1,"my_confidence":2}')], "id int, j string")
     got = {tuple(x) for x in trees.scored(trees.leaves(docs, "j", ["id"]), ["id"]).collect()}
     assert got == {(1, "a", "x", 0.5), (1, "b[0].c", None, 1.0), (2, "", "top", 0.25)}
+
+
+def test_nothing_is_written_and_deep_texts_are_whole(spark, monkeypatch):
+    """Each level was a checkpoint of all its nodes; brackets and quotes within strings are no levels."""
+    cuts = []
+    monkeypatch.setattr(trees, "cut", lambda df, f=trees.cut: cuts.append(1) or f(df))
+    odd = {"a": ["}{[", '\\"[[', {"b": "x\\"}]}
+    docs = spark.createDataFrame([(1, json.dumps(odd)), (2, "[[["), (3, '["' + "[" * 30)], "id int, j string")
+    got = Counter(tuple(x) for x in trees.leaves(docs.filter("id = 1"), "j", ["id"]).collect())
+    assert got == Counter((1, *leaf) for leaf in plain(odd)) and not cuts
+    assert {(r["id"], r["kind"]) for r in trees.leaves(docs.filter("id > 1"), "j", ["id"]).collect()} == {(2, "invalid"), (3, "invalid")} and not cuts
+    deep = spark.createDataFrame([(1, "[" * 30 + "7" + "]" * 30)], "id int, j string")
+    assert [tuple(r) for r in trees.leaves(deep, "j", ["id"]).collect()] == [(1, "[0]" * 30, 30, "number", "7")] and len(cuts) == 2
