@@ -69,21 +69,31 @@ def _sharing(asked: DataFrame, names: DataFrame, min_score: float) -> DataFrame:
     return _spread(prefix(asked, "q"), "shop_id", "token").join(prefix(names, "n"), ["shop_id", "token"]).select("shop_id", "q", "n").distinct()
 
 
+def _asked(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """items (shop_id, name, ...) -> plus ``_asked``, the normal form; and each normal form of a shop once, as queries."""
+    items = items.withColumn("_asked", normalize(F.col("name")))
+    each = items.select("shop_id", F.col("_asked").alias("name")).distinct()
+    return items, each.select(F.struct("shop_id", F.col("name").alias("_asked")).alias("query_id"), "shop_id", "name")
+
+
 def match_items(items: DataFrame, catalog: DataFrame, scorer: str = "token_set") -> tuple[DataFrame, DataFrame]:
-    """items (document_id, item_no, shop_id, name) -> a row an item (best_score, candidates), a row a document (matched, total)."""
-    keyed = items.withColumn("query_id", F.struct("document_id", "item_no"))
-    found = match_names(keyed, catalog, scorer=scorer).join(catalog.select("id", "sku", F.col("name").alias("item_name"), "strength", "mrp", "composition", "stock_qty"), "id")
-    lists = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "item_name", "sku", "strength", "mrp", "composition", "stock_qty", "score"))).alias("candidates"))
-    each = keyed.join(lists, "query_id", "left").select("document_id", "item_no", "name", F.coalesce(F.get("candidates", 0)["score"], F.lit(0.0)).alias("best_score"), "candidates")
+    """items (document_id, item_no, shop_id, name) -> a row an item (best_score, candidates), a row a document (matched, total).
+
+    Candidates are gathered once a name; items, which repeat names, meet them in one join.
+    """
+    items, asked = _asked(items)
+    found = match_names(asked, catalog, scorer=scorer).join(catalog.select("id", "sku", F.col("name").alias("item_name"), "strength", "mrp", "composition", "stock_qty"), "id")
+    lists = found.groupBy("query_id").agg(F.max("score").alias("best"), F.sort_array(F.collect_list(F.struct("rank", "id", "item_name", "sku", "strength", "mrp", "composition", "stock_qty", "score"))).alias("candidates"))
+    each = items.join(lists.select("query_id.*", "best", "candidates"), ["shop_id", "_asked"], "left").select("document_id", "item_no", "name", F.coalesce("best", F.lit(0.0)).alias("best_score"), "candidates")
     return each, each.groupBy("document_id").agg(F.count_if(F.col("best_score") >= 70).alias("matched"), F.count("*").alias("total"))
 
 
 def link_items(items: DataFrame, catalog: DataFrame, min_score: float = 70.0, scorer: str = "token_set") -> DataFrame:
-    """Each item with its inventory_match (id, sku, name, score), or null where nothing reaches the score."""
-    keyed = items.withColumn("query_id", F.struct("document_id", "item_no"))
-    best = match_names(keyed, catalog, 1, min_score, scorer).join(catalog.select("id", "sku", F.col("name").alias("item_name")), "id")
-    best = best.select("query_id", F.struct("id", "sku", F.col("item_name").alias("name"), "score").alias("inventory_match"))
-    return keyed.drop("inventory_match").join(best, "query_id", "left").drop("query_id")
+    """Each item with its inventory_match (id, sku, name, score), or null where nothing reaches the score. Names are matched once."""
+    items, asked = _asked(items.drop("inventory_match"))
+    best = match_names(asked, catalog, 1, min_score, scorer).join(catalog.select("id", "sku", F.col("name").alias("item_name")), "id")
+    best = best.select("query_id.*", F.struct("id", "sku", F.col("item_name").alias("name"), "score").alias("inventory_match"))
+    return items.join(best, ["shop_id", "_asked"], "left").select(*[c for c in items.columns if c != "_asked"], "inventory_match")
 
 
 def alternatives(queries: DataFrame, catalog: DataFrame, limit: int = 5, min_score: float = 75.0, scorer: str = "token_set") -> DataFrame:

@@ -242,3 +242,17 @@ def test_columns_are_chosen_once_a_table(spark):
     items = tables.line_items(t)
     assert items._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") <= 2  # and the shares of GST
     assert [(r["description"], r["quantity"]) for r in items.collect()] == [("Pen", "2")]
+
+
+def test_names_that_repeat_are_matched_once(spark, monkeypatch):
+    """Every item was a query of its own, its candidates gathered by item."""
+    asked = []
+    monkeypatch.setattr(matching, "match_names", lambda q, *a, f=matching.match_names, **b: asked.append(q.count()) or f(q, *a, **b))
+    c = spark.createDataFrame([(1, "s", "K", "Pen Red", "pen red", "1", 1.0, None, 2.0)], "id int, shop_id string, sku string, name string, normalized_name string, strength string, mrp double, composition string, stock_qty double")
+    rows = [("d", 0, "s", "Pen Red"), ("d", 1, "s", "pen red Tab"), ("e", 0, "s", "zzz"), ("e", 1, None, "Pen Red"), ("e", 2, "s", None)]
+    items = spark.createDataFrame(rows, "document_id string, item_no int, shop_id string, name string")
+    each, total = matching.match_items(items, c, "jaccard")
+    assert {(r[0], r[1]): (r["best_score"], r["candidates"] and r["candidates"][0]["id"]) for r in each.collect()} == {("d", 0): (100.0, 1), ("d", 1): (100.0, 1), ("e", 0): (0.0, None), ("e", 1): (0.0, None), ("e", 2): (0.0, None)}
+    assert {tuple(r) for r in total.collect()} == {("d", 2, 2), ("e", 0, 3)} and asked == [4]
+    linked = matching.link_items(items, c, scorer="jaccard")
+    assert linked.columns == ["document_id", "item_no", "shop_id", "name", "inventory_match"] and linked.filter("inventory_match IS NOT NULL").count() == 2
