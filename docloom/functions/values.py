@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -92,13 +94,52 @@ def worded_date(value: Column) -> Column:
     return F.try_to_timestamp(F.aggregate(tokens, start, step, plain), F.lit("yyyy-MM-dd")).cast("date")
 
 
+def _at_once() -> tuple[str, str]:
+    """A pattern of a whole text that has one date, in any of the forms, and no digit beside it; and what it becomes: year-month-day.
+
+    Where it matches, no other form could be found in the text but in a part of that date. Any other text gets
+    "--" before it, and an empty one stays empty.
+    """
+    part = {"yyyy": r"(\d{4})", "yy": r"(\d{2})", "MMM": "([A-Za-z]{3})", "M": r"(\d{1,2})", "d": r"(\d{1,2})"}
+    digits, letters, places, n = [], [], {"y": "", "M": "", "d": ""}, 0
+    for _, form in sorted(DATE_FORMS, key=lambda f: f[1].startswith("MMM")):
+        said = ""
+        for x in re.findall("y+|M+|d+|.", form):
+            said += part.get(x) or re.escape(x)
+            if x in part:
+                places[x[0]] += f"${(n := n + 1)}"
+        (letters if form.startswith("MMM") else digits).append(said)
+    begin = rf"\D*+(?<![/.-])(?:{'|'.join(digits)})|(?:\D*[^\d/.-])?(?:{'|'.join(letters)})"
+    return rf"(?s)\A(?:(?:{begin})(?:[^\d/.-]\D*+)?|(.+))\z", "-".join(places.values()) + f"${n + 1}"
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often it is named there."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def date(value: Column) -> Column:
-    """Day first, ISO as ISO, months as words; month and year give the first of the month; anything else is null."""
-    tries = []
-    for pattern, form in DATE_FORMS:
-        found = _first(value, rf"(?<![\d/.-])({pattern})(?![\d/.-])", 1)
-        tries.append(F.try_to_timestamp(F.initcap(found), F.lit(form)).cast("date"))
-    return F.coalesce(*tries, worded_date(value))
+    """Day first, ISO as ISO, months as words; month and year give the first of the month; anything else is null.
+
+    A text that has one date and no other digit is read by one pattern; on others, and on what is no date by that, the forms are
+    tried in turn.
+    """
+
+    def in_turn(text: Column) -> Column:
+        tries = []
+        for pattern, form in DATE_FORMS:
+            alone = rf"(?<![\d/.-])({pattern})(?![\d/.-])"
+            tries.append(F.when(text.rlike(alone), F.try_to_timestamp(F.initcap(F.regexp_extract(text, alone, 1)), F.lit(form)).cast("date")))
+        return F.when(text.rlike(r"\d"), F.coalesce(*tries, worded_date(text)))
+
+    def of_parts(said: Column) -> Column:
+        """year-month-day, the year of two digits or four, the month a number or three letters, the day perhaps empty."""
+        plain = F.rtrim(said, F.lit("-"))
+        short = F.when(F.substring(said, 3, 1) == "-", F.concat(F.lit("20"), plain).try_cast("date"))
+        named = F.when(~said.startswith("--"), F.try_to_timestamp(said, F.lit("[yyyy][yy]-[MMM][M]-[d]")).cast("date"))
+        return F.coalesce(plain.try_cast("date"), short, named)
+
+    return F.coalesce(_let(F.regexp_replace(value, *_at_once()), of_parts), _let(value, in_turn))
 
 
 def idempotency_key(document_id: Column, connector_id: Column) -> Column:

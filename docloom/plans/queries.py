@@ -80,9 +80,9 @@ def _sql_date(name: str) -> str:
 
 @query(f"SELECT o_orderkey, {', '.join(f'{_sql_date(n)} AS {n}' for n in _FORMS)}, NULL::VARCHAR AS nothing FROM orders")
 def date_parse(spark, sf_dir):
-    said = lambda x: V.date(x).cast("string")
-    each = [said(F.concat(F.lit("dt. "), F.date_format("o_orderdate", form))).alias(n) for n, (form, _) in _FORMS.items()]
-    return A.table(spark, sf_dir, "orders").select("o_orderkey", *each, said(F.lit("soon")).alias("nothing"))
+    texts = F.array(*[F.concat(F.lit("dt. "), F.date_format("o_orderdate", form)) for form, _ in _FORMS.values()], F.lit("soon"))
+    found = A.table(spark, sf_dir, "orders").select("o_orderkey", F.transform(texts, lambda x: V.date(x).cast("string")).alias("said"))
+    return found.select("o_orderkey", *[F.col("said")[k].alias(n) for k, n in enumerate([*_FORMS, "nothing"])])
 
 
 #: Dates in words, by remainder of the key; the last has no day.

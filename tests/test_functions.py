@@ -94,3 +94,12 @@ def test_jaccard(spark):
 def test_dates_in_words(spark, said, expected):
     got = one(spark, said, V.date)
     assert got == (datetime.date.fromisoformat(expected) if expected else None)
+
+
+def test_a_date_is_read_once_and_as_by_its_forms_in_turn(spark):
+    said = ["45 Jan 2024", "x5-6-24", "5/6/2024 and 2023-01-02", "1900-2-29", "0000-1-1", "2024-1-", "24-5-6", "--2024-5-6", "5.6.24", "", "\n", "March 2024", "dt. Sep-07", "5-Xyz-2024", "2024"]
+    want = ["2024-01-01", "2024-06-05", "2023-01-02", None, "0000-01-01", None, None, None, None, None, None, "2024-03-01", "2007-09-01", None, None]
+    df = spark.createDataFrame(list(enumerate(said)), "k int, t string").select("k", V.date(F.upper("t")).cast("string").alias("d"))
+    assert [r["d"] for r in df.orderBy("k").collect()] == want
+    # What it is read from is named twice at most, not once a form.
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("upper(") <= 2
