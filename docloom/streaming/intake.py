@@ -8,6 +8,7 @@ crash decides alike. Results go to a folder a batch, which a replay of the batch
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -20,6 +21,13 @@ from . import sinks
 _PAGES = "document_id string, doc_type string, page int, pages int, text string, error string"
 
 
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    """Rows of ``_PAGES``, a column at a time."""
+    document_id, doc_type, page, pages, text, error = (list(c) for c in zip(*rows, strict=True))
+    numbers = {"page": pd.array(page, "Int32"), "pages": pd.array(pages, "Int32")}
+    return pd.DataFrame({"document_id": document_id, "doc_type": doc_type, **numbers, "text": text, "error": error}, copy=False)
+
+
 def assemble(pages: DataFrame, wait_ms: int, late: str = "10 minutes") -> DataFrame:
     """A stream of pages -> those of whole documents; one row with an error for a document that isn't whole ``wait_ms`` after its last page.
 
@@ -32,26 +40,27 @@ def assemble(pages: DataFrame, wait_ms: int, late: str = "10 minutes") -> DataFr
         if state.hasTimedOut:
             state.remove()
             if not whole:
-                yield pd.DataFrame([(key[0], kind, None, total, None, f"{len(got)} of {total} pages came")], columns=["document_id", "doc_type", "page", "pages", "text", "error"]).astype({"page": "Int32", "pages": "Int32"})
+                yield _frame([(key[0], kind, None, total, None, f"{len(got)} of {total} pages came")])
             return
-        texts = dict(got)
+        texts, kinds = dict(got), {kind}
         for f in frames:
-            f = f.sort_values(["page", "text"], kind="stable")
-            total, last = max(total, int(f["pages"].max())), max(last, int(f["at_ms"].max()))
-            kinds = [k for k in [kind, *f["doc_type"]] if k]
-            kind = min(kinds, default=None)
-            for page, text in zip(f["page"], f["text"], strict=True):
-                texts.setdefault(int(page), text or "")
+            # A call is a document: each column of pandas, and its sort and maximum, cost more than all the rest here.
+            rows = [json.loads(x) for x in f["said"].tolist()]
+            total, last = max(total, *(r["pages"] for r in rows)), max(last, *(r["at_ms"] for r in rows))
+            kinds.update(r.get("doc_type") for r in rows)
+            for n, text in sorted((r["page"], r["text"]) for r in rows):
+                texts.setdefault(n, text)
+        kind = min((k for k in kinds if k), default=None)
         now_whole = not whole and len(texts) == total
         if now_whole:
-            rows = [(key[0], kind, p, total, texts[p], None) for p in sorted(texts)]
-            yield pd.DataFrame(rows, columns=["document_id", "doc_type", "page", "pages", "text", "error"])
+            yield _frame([(key[0], kind, p, total, texts[p], None) for p in sorted(texts)])
         whole = whole or now_whole
         state.update(([] if whole else sorted(texts.items()), total, kind, whole, last))
         state.setTimeoutTimestamp(max(last + wait_ms, state.getCurrentWatermarkMs() + 1))
 
     good = pages.filter("document_id IS NOT NULL AND page >= 0 AND page < pages AND at IS NOT NULL").withWatermark("at", late)
     rows = good.select(F.col("document_id").cast("string").alias("document_id"), F.col("doc_type").cast("string").alias("doc_type"), F.col("page").cast("int").alias("page"), F.col("pages").cast("int").alias("pages"), F.coalesce("text", F.lit("")).alias("text"), F.unix_millis("at").alias("at_ms"), "at")
+    rows = rows.select("document_id", F.to_json(F.struct("doc_type", "page", "pages", "text", "at_ms")).alias("said"), "at")
     return rows.groupBy("document_id").applyInPandasWithState(step, _PAGES, "pages array<struct<page:int,text:string>>, total int, kind string, whole boolean, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 

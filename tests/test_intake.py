@@ -36,3 +36,16 @@ def test_equal_to_the_batch_in_any_order_with_restarts(spark, tmp_path):
         assert {k: got[one["document_id"]][k] for k in one} == one
     assert {d: (r["status"], r["error"]) for d, r in got.items()} == {"a": ("needs_review", None), "b": ("needs_review", None), "c": ("needs_review", None), "f": ("failed", "no page could be read"), "x": ("failed", "2 of 3 pages came")}
     assert spark.read.parquet(out).groupBy("document_id").count().filter("count > 1").isEmpty()
+
+
+def test_few_columns_reach_the_step_and_texts_come_through(spark, tmp_path):
+    odd = ['"quoted" \\ {"a": 1}', "two\nlines\ttab\r\x01\x00", "é \U0001f600  ", "", None]
+    rows = [("odd", None if k else "invoice", k, len(odd), t) for k, t in enumerate(odd)]
+    pages = spark.createDataFrame(rows, "document_id string, doc_type string, page int, pages int, text string").withColumn("at", F.lit("2024-01-01").cast("timestamp"))
+    pages.write.parquet(path := f"{tmp_path}/pages")
+    whole = intake.assemble(spark.readStream.schema(pages.schema).parquet(path), 1_000)
+    assert whole._jdf.queryExecution().analyzed().children().head().output().size() <= 3
+    q = whole.writeStream.foreachBatch(lambda df, n: df.write.mode("append").parquet(f"{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").orderBy("page").collect()
+    assert [(r["page"], r["text"], r["doc_type"], r["error"]) for r in got] == [(k, t or "", "invoice", None) for k, t in enumerate(odd)]
