@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import base_molecule, molecule_of, normalize
 from ..functions.scores import SCORERS
+from ..shared import cut
 from .fuzzy import best_names
 
 
@@ -24,6 +25,7 @@ def match_names(queries: DataFrame, catalog: DataFrame, limit: int = 3, min_scor
     """
     q = queries.select("query_id", "shop_id", normalize(F.col("name")).alias("q")).filter("q <> ''")
     names = catalog.groupBy("shop_id", F.col("normalized_name").alias("n")).agg(F.min("id").alias("first_id"))
+    names = cut(names)  # read twice, and the catalog once
     asked = q.select("shop_id", "q").distinct()
     if scorer == "token_set":
         scored = best_names(asked, names, limit, min_score)
@@ -32,8 +34,11 @@ def match_names(queries: DataFrame, catalog: DataFrame, limit: int = 3, min_scor
         scored = pairs.withColumn("raw_score", SCORERS[scorer](F.col("q"), F.col("n"))).filter(F.col("raw_score") >= min_score)
     first = F.row_number().over(W.partitionBy("shop_id", "q").orderBy(F.desc("raw_score"), "first_id"))
     near = scored.join(names, ["shop_id", "n"]).withColumn("r", first).filter(F.col("r") <= limit).drop("r", "first_id")
-    items = catalog.select("shop_id", F.col("normalized_name").alias("n"), "id")
-    items = items.withColumn("k", F.row_number().over(W.partitionBy("shop_id", "n").orderBy("id"))).filter(F.col("k") <= limit).drop("k")
+    if limit == 1:
+        items = names.withColumnRenamed("first_id", "id")
+    else:
+        items = catalog.select("shop_id", F.col("normalized_name").alias("n"), "id")
+        items = items.withColumn("k", F.row_number().over(W.partitionBy("shop_id", "n").orderBy("id"))).filter(F.col("k") <= limit).drop("k")
     best = near.join(items, ["shop_id", "n"])
     by = W.partitionBy("shop_id", "q").orderBy(F.desc("raw_score"), "id")
     best = best.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= limit)
@@ -101,21 +106,48 @@ def alternatives(queries: DataFrame, catalog: DataFrame, limit: int = 5, min_sco
 
     The first token of the query's molecule must be one of the item's: an equi-join on exploded tokens. As asked for,
     the item itself and items out of stock are included.
+
+    Rows repeat names, so molecules are worked out once a name and composition; of equal ones only the ``limit`` items
+    that are in stock most can be among the best.
     """
     base = F.when(F.coalesce(F.col("composition"), F.lit("")) != "", normalize(F.col("composition"))).otherwise(base_molecule(F.col("name")))
-    q = queries.select("query_id", "shop_id", base.alias("q")).filter("q <> ''").withColumn("token", F.get(F.split("q", " "), 0))
-    mol = molecule_of(F.col("composition"), F.col("name"))
-    items = catalog.select("shop_id", "id", F.coalesce("stock_qty", F.lit(0.0)).alias("stock"), mol.alias("n"))
+    said = ["shop_id", "name", "composition"]
+    q = cut(queries.select(*said).distinct().withColumn("q", base).filter("q <> ''").withColumn("token", F.get(F.split("q", " "), 0)))
+    items = catalog.select(*said, "id", F.coalesce("stock_qty", F.lit(0.0)).alias("stock"))
+    items = cut(_first(items, limit, said).select("shop_id", "id", "stock", molecule_of(F.col("composition"), F.col("name")).alias("n")))
     names = items.select("shop_id", "n").distinct().select("shop_id", "n", F.explode(F.array_distinct(F.split("n", " "))).alias("token"))
-    pairs = q.select("shop_id", "q", "token").distinct().join(names, ["shop_id", "token"])
+    pairs = _spread(q.select("shop_id", "q", "token").distinct(), "shop_id", "token").join(names, ["shop_id", "token"])
     scored = pairs.withColumn("raw_score", SCORERS[scorer](F.col("q"), F.col("n"))).filter(F.col("raw_score") >= min_score).withColumn("score", F.bround("raw_score", 1))
-    top = items.withColumn("k", F.row_number().over(W.partitionBy("shop_id", "n").orderBy(F.desc("stock"), "id"))).filter(F.col("k") <= limit)
     by = W.partitionBy("shop_id", "q").orderBy(F.desc("score"), F.desc("stock"), "id")
-    best = scored.join(top, ["shop_id", "n"]).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= limit)
-    return q.select("query_id", "shop_id", "q").join(best, ["shop_id", "q"]).select("query_id", "rank", "id", "score")
+    best = scored.join(_first(items, limit, ["shop_id", "n"]), ["shop_id", "n"]).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= limit)
+    lists = best.groupBy("shop_id", "q").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "score"))).alias("found"))
+    return _each(queries, q.join(lists, ["shop_id", "q"]).select(*said, "found"), said).select("query_id", F.inline("found"))
+
+
+def _first(items: DataFrame, limit: int, key: list[str]) -> DataFrame:
+    """Of each key the ``limit`` rows that are in stock most, of equal ones the smaller ids; tasks drop others before the shuffle."""
+    by = W.partitionBy(*key).orderBy(F.desc("stock"), "id")
+    return items.withColumn("k", F.row_number().over(by)).filter(F.col("k") <= limit).drop("k")
+
+
+#: Names with what was found for them that are broadcast at most; more are shuffled, and so are the rows that ask.
+NAMES = 50_000
+
+
+def _each(rows: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
+    """The rows that have something found for their key, with it; nulls are equal but in shop_id."""
+    found = cut(found.toDF(*[f"_{c}" if c in key else c for c in found.columns]))
+    on = [rows[c] == found[f"_{c}"] if c == "shop_id" else rows[c].eqNullSafe(found[f"_{c}"]) for c in key]
+    # The side is named, as a file of few bytes may have very many rows.
+    return rows.join(F.broadcast(found) if found.count() <= NAMES else found.hint("merge"), on).drop(*[f"_{c}" for c in key])
 
 
 def alternatives_for(queries: DataFrame, catalog: DataFrame, limit: int = 5, scorer: str = "token_set") -> DataFrame:
-    """As alternatives, with the composition of the item that the name matches best, at 55 or more."""
-    best = match_names(queries, catalog, 1, 55.0, scorer).join(catalog.select("id", "composition"), "id").select("query_id", "composition")
-    return alternatives(queries.select("query_id", "shop_id", "name").join(best, "query_id", "left"), catalog, limit, scorer=scorer)
+    """As alternatives, with the composition of the item that the name matches best, at 55 or more; all of it once a name of a shop."""
+    said = ["shop_id", "name"]
+    asked = cut(queries.select(*said).distinct()).select(F.struct(*said).alias("query_id"), *said)
+    best = _each(catalog.select("id", "composition"), match_names(asked, catalog, 1, 55.0, scorer).groupBy("id").agg(F.collect_list("query_id").alias("names")), ["id"])
+    best = best.select(F.explode("names").alias("query_id"), "composition")
+    found = alternatives(asked.join(best, "query_id", "left"), catalog, limit, scorer=scorer)
+    lists = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "score"))).alias("found"))
+    return _each(queries.select("query_id", *said), lists.select("query_id.*", "found"), said).select("query_id", F.inline("found"))
