@@ -14,8 +14,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows a table may have at most to be broadcast (each row being a few numbers and one short key).
 BROADCAST_ROWS = 10_000
 
-#: Rows of one or two longs that a table may have at most to be broadcast: some 25 MB as a hash table.
-BROADCAST_KEYS = 1_000_000
+#: Rows of a few longs that a table may have at most to be broadcast. The driver builds the hash table and its copy in blocks:
+#: 900,000 rows under a key of two columns that may be null took some 200 MB there.
+BROADCAST_KEYS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,5 +60,5 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def if_few(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
-    """A table of one or two longs, already computed: broadcast if it has few rows, else left to Catalyst."""
-    return F.broadcast(keys) if keys.count() <= most else keys
+    """A table of a few longs, already computed: broadcast if it has few rows, else merged, as few bytes of a shuffle may be very many rows in the driver."""
+    return F.broadcast(keys) if keys.count() <= most else keys.hint("merge")
