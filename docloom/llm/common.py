@@ -59,6 +59,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def merged(side: DataFrame) -> DataFrame:
+    """A side of a join that isn't broadcast, whatever Catalyst takes it for: what explode() gives is sized as what went into it, and columns that repeat are small in files and shuffles."""
+    return side.hint("merge")
+
+
 def if_few(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
     """A table of a few longs, already computed: broadcast if it has few rows, else merged, as few bytes of a shuffle may be very many rows in the driver."""
-    return F.broadcast(keys) if keys.count() <= most else keys.hint("merge")
+    return F.broadcast(keys) if keys.count() <= most else merged(keys)

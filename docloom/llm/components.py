@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, merged
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
@@ -16,13 +16,13 @@ def _lowest(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = _lowest(both)
-    return both.filter("v > u").join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.filter("v > u").join(merged(low), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     low = down.groupBy("u").agg(F.min("v").alias("m"))
-    others = down.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    others = down.join(merged(low), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return others.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -36,5 +36,5 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         now = cut(_small_star(_large_star(now)))
         n, nodes = now.agg(F.count("*"), F.countDistinct("u")).first()
-        if n == nodes and now.join(now.select(F.col("u").alias("node")), F.col("v") == F.col("node"), "left_semi").isEmpty():
+        if n == nodes and now.join(merged(now.select(F.col("u").alias("node"))), F.col("v") == F.col("node"), "left_semi").isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("low"))

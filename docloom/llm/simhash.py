@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, if_few, merged, table
 from .components import components
 
 SEED, BITS, SHINGLE, MAX_BITS = 42, 64, 4, 4
@@ -131,7 +131,7 @@ def pivot_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     plan = segments(fps.count(), max_bits)
     values = _values(F.col("fp"), plan)
     _, pivots = _tables(fps, values)
-    return _pairs(fps.select("fp", _probes(values, plan).alias("key")).join(pivots, "key"), max_bits)
+    return _pairs(fps.select("fp", _probes(values, plan).alias("key")).join(merged(pivots), "key"), max_bits)
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -139,13 +139,13 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     plan = segments(fps.count(), max_bits)
     values = _values(F.col("fp"), plan)
     entries, pivots = _tables(fps, values)
-    stars = _pairs(entries.join(pivots.filter("n > 1"), "key"), max_bits)
+    stars = _pairs(entries.join(merged(pivots.filter("n > 1")), "key"), max_bits)
     rough = cut(components(stars.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    known = cut(fps.join(rough, fps["fp"] == rough["node"], "left").select("fp", F.coalesce("low", "fp").alias("c")))
+    known = cut(fps.join(if_few(rough), fps["fp"] == rough["node"], "left").select("fp", F.coalesce("low", "fp").alias("c")))
     keys = F.array(*[v + F.lit(k << 56) for k, v in enumerate(values)])
     left = known.select(F.col("fp").alias("a"), F.col("c").alias("ca"), _probes(values, plan).alias("key"))
     right = known.select(F.col("fp").alias("b"), F.col("c").alias("cb"), F.explode(keys).alias("key"))
-    found = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near(F.col("a"), F.col("b"), max_bits))
+    found = left.join(merged(right), (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near(F.col("a"), F.col("b"), max_bits))
     across = found.select(F.col("ca").alias("u"), F.col("cb").alias("v")).distinct()
     return components(rough.select(F.col("node").alias("u"), F.col("low").alias("v")).union(across))
 
@@ -155,9 +155,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     found = cut(fingerprints(docs, shingle))
     fps = cut(found.groupBy("fp").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")))
     linked = links(fps.select("fp", "copies"), max_bits)
-    low = fps.join(linked, fps["fp"] == linked["node"], "left").select("fp", "first_id", F.coalesce("low", "fp").alias("low"))
-    named = low.join(low.groupBy("low").agg(F.min("first_id").alias("component_id")), "low").select("fp", "component_id")
-    return found.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    low = fps.join(if_few(linked), fps["fp"] == linked["node"], "left").select("fp", "first_id", F.coalesce("low", "fp").alias("low"))
+    named = low.join(merged(low.groupBy("low").agg(F.min("first_id").alias("component_id"))), "low").select("fp", "component_id")
+    return found.join(merged(named), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_simhash(spark, sf_dir):
