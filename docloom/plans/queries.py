@@ -215,7 +215,7 @@ def json_leaves(spark, sf_dir):
 @query(f"WITH {A.INVOICES}, {A.LEAVES} SELECT document_id, path, value, confidence FROM leaves WHERE value IS NOT NULL AND confidence IS NOT NULL")
 def json_field_walk(spark, sf_dir):
     records = A.invoices(spark, sf_dir).select("document_id", F.to_json("data").alias("record"))
-    return trees.scored(trees.leaves(records, "record", ["document_id"]), ["document_id"])
+    return trees.scored_objects(records, "record", ["document_id"])
 
 
 @query(f"WITH {A.INVOICES}, {A.LEAVES} SELECT document_id, string_agg(path, ',' ORDER BY a, i, j) AS paths FROM leaves WHERE value <> '' AND confidence < 0.6 GROUP BY document_id")

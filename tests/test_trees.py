@@ -63,3 +63,29 @@ def test_nothing_is_written_and_deep_texts_are_whole(spark, monkeypatch):
     assert {(r["id"], r["kind"]) for r in trees.leaves(docs.filter("id > 1"), "j", ["id"]).collect()} == {(2, "invalid"), (3, "invalid")} and not cuts
     deep = spark.createDataFrame([(1, "[" * 30 + "7" + "]" * 30)], "id int, j string")
     assert [tuple(r) for r in trees.leaves(deep, "j", ["id"]).collect()] == [(1, "[0]" * 30, 30, "number", "7")] and len(cuts) == 2
+
+
+def test_scored_objects_without_a_shuffle(spark):
+    """As value and confidence are in one row, they needn't be brought together; deep, odd and nested ones come out too."""
+    leaf = lambda x, c=0.5, **more: {"value": x, "confidence": c, **more}
+    deep = leaf("deep")
+    for k in range(30):
+        deep = {"f g": deep} if k % 3 else [{}, deep, 7]
+    records = [
+        leaf("top", 1), {"a": leaf(None, 1), "b": [{"c": leaf(7, 1)}, {"c": {"value": "y"}}, [leaf(True, 2.25)]], "d": leaf({"e": 1}), "e": leaf([]), "f": leaf("z", "0.5"), "g": leaf("z", True), "h": leaf("z", None)},
+        {"a": leaf("x", 1, more={"b": leaf("in", 0.25, list=[leaf("y")]), "c<d": {}}), "b<": leaf("x", 1, **{"o<<": 1})}, {"a": leaf({"value": 1, "confidence": 0.75})}, deep, {"x": [deep, deep]}, [], {}, 7, None, {"q\"r": {"": {"a.b": leaf("k")}}},
+    ]
+    r = random.Random(7)
+
+    def some(n):
+        if n == 0 or r.random() < 0.2:
+            return r.choice([1, "s", None, {}, [], True, 2.5, -1.25e10])
+        return [some(n - 1) for _ in range(r.randrange(4))] if r.random() < 0.3 else {k: some(n - 1) for k in r.sample(["value", "confidence", "a", "b c"], r.randrange(5))}
+
+    records += [some(k % 9) for k in range(300)]
+    docs = spark.createDataFrame([(k, json.dumps(x)) for k, x in enumerate(records)] + [(-1, None), (-2, "{"), (-3, '{"value":1,"value":2,"confidence":1}')], "path int, own string")
+    got = trees.scored_objects(docs, "own", ["path"])
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    named = docs.toDF("id", "j")
+    want = Counter(tuple(x) for x in trees.scored(trees.leaves(named, "j", ["id"]), ["id"]).collect())
+    assert Counter(tuple(x) for x in got.collect()) == want and len(want) > 60 and max(p.count("[") for _, p, *_ in want) > 9
